@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomlake.llm.leaks import leaked
+from loomlake.llm.nearcopies import NearCopies, pairs_within
 from loomlake.llm.stuffing import stuffed
 from loomlake.llm.tokens import encode_corpus
 from loomlake.sources.tables import table
 
 
+def _stories(spark: SparkSession, d: str) -> NearCopies:
+    rows = table(spark, d, "source_document").filter("body is not null").select("document_id", F.concat_ws(" ", "title", "body").alias("all"))
+    return NearCopies(rows, "document_id", "all", similarity=0.75)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different documents of one group: TESTDATA.md asks for the pairs themselves."""
+    return pairs_within(_stories(spark, d).groups(), "document_id")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same groups in linear form: one row per document and group, the group named by its least document, with its size."""
+    g = _stories(spark, d).groups().distinct()
+    names = g.groupBy("group").agg(F.min("document_id").alias("representative"), F.count(F.lit(1)).alias("members"))
+    return g.join(names, "group").select("document_id", "representative", "members")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -23,7 +42,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
