@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm.leaks import leaked
+from loomlake.llm.names import link_names
 from loomlake.llm.nearcopies import NearCopies, pairs_within
 from loomlake.llm.stuffing import stuffed
 from loomlake.llm.tokens import encode_corpus
+from loomlake.operators.skew import join_split
+from loomlake.session import written
 from loomlake.sources.tables import table
 
 
@@ -29,6 +34,18 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(names, "group").select("document_id", "representative", "members")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Unresolved aliases with the one company they mean: distinct spellings are linked, then the rows take the link of theirs."""
+    companies = table(spark, d, "companies")
+    names = reduce(
+        DataFrame.unionByName,
+        [companies.select("ticker", F.col(c).alias("name")) for c in ("name_official", "name_en")] + [table(spark, d, "company_alias").select("ticker", F.col("alias_name").alias("name"))],
+    )
+    rows = table(spark, d, "alias_freq").filter("ticker is null and alias is not null").select("alias_id", "alias")
+    links = written(link_names(rows, "alias", names, "ticker", "name"), "p2-links").withColumnRenamed("entity", "ticker")
+    return join_split(rows, links, ["alias"]).filter("ticker is not null").select("alias_id", "ticker")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -42,7 +59,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
