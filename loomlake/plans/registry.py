@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.plans import quality
+from loomlake.plans import quality, scores
 
-_MODULES = (quality,)
+_MODULES = (quality, scores)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return quality.p3_report(spark, d)
+    return scores.a01(spark, d)
 
 
 def queries() -> dict:
