@@ -53,4 +53,6 @@ def fixture(spark: SparkSession, d: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """The oracle's text with the fixtures it names in front of it."""
     used = [v for v in VIEWS if v in sql]
+    if not used:
+        return sql
     return "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in used) + " " + (sql.strip().replace("WITH RECURSIVE ", ", ", 1) if sql.strip().startswith("WITH RECURSIVE ") else (", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else sql))

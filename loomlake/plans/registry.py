@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.plans import quality, scores
+from loomlake.plans import quality, scores, serving
 
-_MODULES = (quality, scores)
+_MODULES = (quality, scores, serving)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
