@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.plans import quality, scores, serving, timeseries
+from loomlake.plans import graph, quality, scores, serving, timeseries
 
-_MODULES = (quality, scores, serving, timeseries)
+_MODULES = (quality, scores, serving, timeseries, graph)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
