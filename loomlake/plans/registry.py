@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.plans import graph, platform, quality, scores, serving, text, timeseries
+from loomlake.plans import graph, more, platform, quality, scores, serving, text, timeseries
 
-_MODULES = (quality, scores, serving, timeseries, graph, text, platform)
+_MODULES = (quality, scores, serving, timeseries, graph, text, platform, more)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
