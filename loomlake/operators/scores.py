@@ -53,7 +53,8 @@ def evidence_mean(evidence: DataFrame, windows: DataFrame) -> DataFrame:
     Every relation has a row for every window; a null score means no evidence, 0 an observed zero.
     """
     key = ["source_company_id", "target_company_id", "relationship_type"]
-    rows = canonical(evidence).dropDuplicates([*key, "document_id", "score"]).withColumn("micro", (F.col("score") * 1_000_000).cast("long"))
+    rows = canonical(evidence).withColumn("micro", (F.col("score") * 1_000_000).cast("long"))
+    rows = rows.select(*key, "document_id", "document_type", "published_at", "impact_direction", "micro").distinct()  # rows that disagree are for dq.conflicts
     grid = rows.select(*key).distinct().crossJoin(F.broadcast(windows.select("window_type")))  # at most a few windows
     inside = rows.join(F.broadcast(windows), in_window("published_at"))
     news, filed = F.col("document_type") == "NEWS", F.col("document_type") == "DISCLOSURE"
