@@ -173,3 +173,25 @@ def linked(surface: str, names: dict[str, str], least: float = 0.9) -> str | Non
         return names[surface]
     best = sorted(((similar(surface, n), n) for n in names), reverse=True)[:2]
     return names[best[0][1]] if best and best[0][0] >= least and (len(best) < 2 or best[1][0] < best[0][0] or names[best[1][1]] == names[best[0][1]]) else None
+
+
+RISK = r"채용|스포츠|부동산|recruit|sports|real estate"
+
+
+def accepted(matched: DataFrame) -> DataFrame:
+    """X-03: (id, key, n, risky): mentions by sentence; a key whose every sentence speaks of a risky context is marked."""
+    s = sentence_spans(matched).select("id", "sentence", F.inline("spans"))
+    return s.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("sentence").rlike(RISK)).alias("risky"))
+
+
+def between(pairs: DataFrame, names: DataFrame, key: str, alias: str) -> DataFrame:
+    """X-10: English pairs with the text between the two names and the first rule whose keyword stands there."""
+    n = names.select(F.col(key), F.col(alias))
+    j = pairs.join(n.toDF("a", "name_a"), "a").join(n.toDF("b", "name_b"), "b")
+    pa_, pb = F.instr("sentence", F.col("name_a")), F.instr("sentence", F.col("name_b"))
+    gap = F.when((pa_ > 0) & (pb > pa_), F.substring("sentence", pa_ + F.length("name_a"), pb - pa_ - F.length("name_a")))
+    rows = j.withColumn("gap", gap).filter("gap is not null")
+    relation = F.lit(None).cast("string")
+    for name, p in reversed(RELATION_RULES):
+        relation = F.when(F.col("gap").rlike(p), name).otherwise(relation)
+    return rows.withColumn("relation", relation)

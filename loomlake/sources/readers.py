@@ -71,3 +71,21 @@ def requested(spark: SparkSession, **arrays) -> DataFrame:
     """S-27: parallel arrays as a table."""
     names = list(arrays)
     return spark.createDataFrame(list(zip(*arrays.values())), names)
+
+
+def bisected(counts: list[tuple[str, int]], most: int) -> list[tuple[str, str, int]]:
+    """S-15: windows (first day, last day, hits) of at most ``most`` hits, halved until they fit; a single day is never split."""
+    out = []
+
+    def split(a: int, b: int) -> None:
+        hits = sum(n for _, n in counts[a:b])
+        if hits <= most or b - a <= 1:
+            if b > a:
+                out.append((counts[a][0], counts[b - 1][0], hits))
+            return
+        m = (a + b) // 2
+        split(a, m)
+        split(m, b)
+
+    split(0, len(counts))
+    return out

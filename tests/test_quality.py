@@ -2,7 +2,6 @@
 
 import random
 import zlib
-from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,4 +84,3 @@ def test_messages_once_over_batches(spark):
     assert store.dictionary().select("shard", "code").distinct().count() == store.dictionary().count() == len(seen)
     empty = spark.createDataFrame([], "key long, id string, rank int")
     assert repeated(empty, F.col("id"), F.struct("rank", "key"), "key", store).count() == 0
-    assert datetime.now()
