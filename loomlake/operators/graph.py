@@ -24,17 +24,21 @@ def propagate(mentions: DataFrame, edges: DataFrame, weights: dict[str, float],
 
     mentions: (doc, key, salience). A path's score is salience x type weight x strength x the damping of the node it leaves, per
     hop. No path revisits a node and no mentioned company is a target. The best path of real relations counts if it has one,
-    else the best with a co-mention. Equal scores: fewer hops, then the path's text.
+    else the best with a co-mention. Equal scores: fewer hops, then the path's text. Paths are followed once per key and salience, not
+    per document: a document only chooses among the best of its keys.
     """
     w = F.coalesce(F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))]), F.col("rel")), F.lit(0.0))
     adj = adjacency(edges).join(hub_damping(edges, relational), "me", "left").select("me", "other", (w * F.col("strength") * F.coalesce("damp", F.lit(1.0))).alias("f"), F.col("rel").isin(*relational).alias("real"))
-    one = mentions.join(adj, mentions["key"] == adj["me"]).select("doc", F.array("key", "other").alias("nodes"), (F.col("salience") * F.col("f")).alias("score"), "real")
+    start = mentions.select("key", "salience").distinct()
+    one = start.join(adj, start["key"] == adj["me"]).select("key", "salience", F.array("key", "other").alias("nodes"), (F.col("salience") * F.col("f")).alias("score"), "real")
     step = adj.select(F.col("me").alias("m2"), F.col("other").alias("o2"), F.col("f").alias("f2"), F.col("real").alias("r2"))
     two = one.join(step, F.element_at("nodes", 2) == F.col("m2")).filter(~F.array_contains("nodes", F.col("o2")))
-    two = two.select("doc", F.concat("nodes", F.array("o2")).alias("nodes"), (F.col("score") * F.col("f2")).alias("score"), (F.col("real") & F.col("r2")).alias("real"))
+    two = two.select("key", "salience", F.concat("nodes", F.array("o2")).alias("nodes"), (F.col("score") * F.col("f2")).alias("score"), (F.col("real") & F.col("r2")).alias("real"))
     paths = one.unionByName(two).withColumns({"target": F.element_at("nodes", -1), "hops": F.size("nodes") - 1, "path": F.array_join(F.col("nodes").cast("array<string>"), ">"), "score": F.round("score", 10)})
-    paths = paths.join(mentions.select("doc", F.col("key").alias("target")), ["doc", "target"], "left_anti")
-    best = top_per(paths, ["doc", "target"], [F.desc("real"), F.desc("score"), "hops", "path"])
+    order = [F.desc("real"), F.desc("score"), F.col("hops"), F.col("path")]
+    best = top_per(paths, ["key", "salience", "target"], order).drop("nodes")
+    told = mentions.groupBy("doc").agg(F.collect_set(F.struct("key", "salience")).alias("own")).select("doc", F.transform("own", lambda x: x["key"]).alias("keys"), F.inline("own"))
+    best = top_per(told.join(best, ["key", "salience"]).filter(~F.array_contains("keys", F.col("target"))), ["doc", "target"], order)
     return best.select("doc", "target", "score", "hops", "path", F.when(F.col("real"), "RELATION").otherwise("CO_MENTION").alias("basis"))
 
 

@@ -20,8 +20,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _seeds(spark, d):
-    m = fixture(spark, d, "fx_mention").filter("document_id % 40 = 3")
+def _seeds(m):
     return m.select(F.col("document_id").alias("doc"), F.col("company_id").cast("long").alias("key"), F.round(1.0 - (F.col("company_id") % 5) / 10, 1).alias("salience"))
 
 
@@ -41,7 +40,13 @@ SELECT doc, target, score, hops, path, CASE WHEN real THEN 'RELATION' ELSE 'CO_M
 
 @query("X_19_propagate", _PROP)
 def x19(spark, d):
-    return G.propagate(_seeds(spark, d), fixture(spark, d, "fx_edge").withColumn("strength", F.col("strength")), WEIGHTS)
+    """The slice of documents that the SQL can follow; X_19_propagate_all has them all."""
+    return G.propagate(_seeds(fixture(spark, d, "fx_mention").filter("document_id % 40 = 3")), fixture(spark, d, "fx_edge"), WEIGHTS)
+
+
+@query("X_19_propagate_all")
+def x19_all(spark, d):
+    return G.propagate(_seeds(fixture(spark, d, "fx_mention")), fixture(spark, d, "fx_edge"), WEIGHTS)
 
 
 _BFS = f"""WITH RECURSIVE {_ADJ}, b AS (SELECT c AS center, CAST(c AS BIGINT) AS node, 0 AS depth FROM (SELECT unnest([1, 7, 23]) AS c) UNION SELECT center, other, depth + 1 FROM b JOIN aj ON aj.me = b.node WHERE depth < 3) SELECT CAST(center AS BIGINT) AS center, node, MIN(depth) AS depth FROM b GROUP BY 1, 2"""
@@ -155,8 +160,17 @@ SELECT company_id, round(MAX(s), 6) AS score, string_agg(DISTINCT r, ',' ORDER B
 
 @query("X_24_expand_impact", _EXP)
 def x24(spark, d):
-    seeds = fixture(spark, d, "fx_event").filter("event_type = 'error' and company_id < 6").select("company_id").distinct()
-    return G.expand_impact(seeds, fixture(spark, d, "fx_company").select("company_id", "industry"), fixture(spark, d, "fx_edge"))
+    """The slice of seeds that the SQL has; X_24_expand_impact_all has them all."""
+    return _expanded(spark, d, fixture(spark, d, "fx_event").filter("event_type = 'error' and company_id < 6"))
+
+
+@query("X_24_expand_impact_all", _EXP.replace(" AND company_id < 6", ""))
+def x24_all(spark, d):
+    return _expanded(spark, d, fixture(spark, d, "fx_event").filter("event_type = 'error'"))
+
+
+def _expanded(spark, d, events):
+    return G.expand_impact(events.select("company_id").distinct(), fixture(spark, d, "fx_company").select("company_id", "industry"), fixture(spark, d, "fx_edge"))
 
 
 @query("X_34_news_evidence", "SELECT document_id, company_id, published_at FROM (SELECT m.document_id, m.company_id, e.published_at, ROW_NUMBER() OVER (PARTITION BY m.document_id ORDER BY m.company_id % 5, m.company_id) AS rn FROM fx_mention m JOIN (SELECT document_id, MIN(published_at) AS published_at FROM fx_evidence GROUP BY 1) e USING (document_id)) WHERE rn = 1")
