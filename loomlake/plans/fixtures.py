@@ -34,6 +34,8 @@ VIEWS = {
  UNION ALL SELECT o_orderkey, l_partkey % 10 FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x""",
     "fx_edge": """SELECT CAST(LEAST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS src, CAST(GREATEST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS dst, CASE l_returnflag WHEN 'R' THEN 'SUPPLY' WHEN 'A' THEN 'PARTNER' ELSE 'CO_MENTIONED' END AS rel,
  MAX(l_discount) * 10 AS strength, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 AND l_quantity > 48 AND l_orderkey % 5 = 0 GROUP BY 1, 2, 3""",
+    "fx_link": """SELECT CAST(LEAST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS src, CAST(GREATEST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS dst, CASE l_returnflag WHEN 'R' THEN 'SUPPLY' WHEN 'A' THEN 'PARTNER' ELSE 'CO_MENTIONED' END AS rel,
+ MAX(l_discount) * 10 AS strength, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 GROUP BY 1, 2, 3""",
     "fx_impact": """SELECT event_id, user_id % 20 AS company_id, CAST(event_id % 4 AS INT) AS hop, value / 100 AS score, CASE WHEN event_id % 5 = 0 THEN 'HOLD' ELSE 'OK' END AS status, ts AS dateline FROM events""",
 }
 

@@ -46,15 +46,15 @@ def x19(spark, d):
 
 @query("X_19_propagate_all")
 def x19_all(spark, d):
-    return G.propagate(_seeds(fixture(spark, d, "fx_mention")), fixture(spark, d, "fx_edge"), WEIGHTS)
+    return G.propagate(_seeds(fixture(spark, d, "fx_mention")), fixture(spark, d, "fx_link"), WEIGHTS)
 
 
 _BFS = f"""WITH RECURSIVE {_ADJ}, b AS (SELECT c AS center, CAST(c AS BIGINT) AS node, 0 AS depth FROM (SELECT unnest([1, 7, 23]) AS c) UNION SELECT center, other, depth + 1 FROM b JOIN aj ON aj.me = b.node WHERE depth < 3) SELECT CAST(center AS BIGINT) AS center, node, MIN(depth) AS depth FROM b GROUP BY 1, 2"""
 
 
 @query("X_21_frontier", _BFS)
-def x21(spark, d):
-    return G.frontier(fixture(spark, d, "fx_edge").filter("strength >= 0.8"), _centers(spark))
+def x21(spark, d, edge="fx_edge", least=0.8):
+    return G.frontier(fixture(spark, d, edge).filter(F.col("strength") >= least), _centers(spark))
 
 
 _SP = f"""WITH RECURSIVE aj AS (SELECT me, other, MAX(strength) AS s FROM (SELECT src AS me, dst AS other, strength FROM fx_edge WHERE strength >= 0.8 UNION ALL SELECT dst, src, strength FROM fx_edge WHERE strength >= 0.8) GROUP BY 1, 2),
@@ -63,8 +63,8 @@ SELECT center, node, hops, penalty, bottleneck FROM (SELECT *, ROW_NUMBER() OVER
 
 
 @query("X_22_shortest_path", _SP)
-def x22(spark, d):
-    return G.shortest_paths(fixture(spark, d, "fx_edge").filter("strength >= 0.8"), _centers(spark))
+def x22(spark, d, edge="fx_edge", least=0.8):
+    return G.shortest_paths(fixture(spark, d, edge).filter(F.col("strength") >= least), _centers(spark))
 
 
 _PAIRS = "pr AS (SELECT x.company_id AS a, y.company_id AS b, COUNT(*) AS n FROM fx_mention x JOIN fx_mention y ON x.document_id = y.document_id AND x.company_id < y.company_id GROUP BY ALL)"
@@ -89,9 +89,9 @@ def x14(spark, d):
 
 
 @query("X_16_merge_chains", f"WITH {_PAIRS}, u AS (SELECT a, b, 60.0 + 10 * LEAST(4, n) AS score, 0 AS c FROM pr UNION ALL SELECT src, dst, strength * 10, 1 FROM fx_edge) SELECT a, b, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b ORDER BY score DESC, c) AS rn FROM u) WHERE rn = 1")
-def x16(spark, d):
+def x16(spark, d, edge="fx_edge"):
     one = _pairs(spark, d).select("a", "b", (60.0 + 10 * F.least(F.lit(4), F.col("n"))).alias("score"))
-    two = fixture(spark, d, "fx_edge").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("strength") * 10).alias("score"))
+    two = fixture(spark, d, edge).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("strength") * 10).alias("score"))
     return G.merge_chains([one, two], ["a", "b"], "score")
 
 
@@ -121,9 +121,9 @@ SELECT src, dst, score FROM (SELECT src, dst, round(0.3 * s / 10 + 0.25 * CASE W
 
 
 @query("X_23_special_links", _SPECIAL)
-def x23(spark, d):
+def x23(spark, d, edge="fx_edge"):
     """Weighted reasons per pair: strength, other industry, other market, several kinds, like degree; kept from .42 on."""
-    e = fixture(spark, d, "fx_edge")
+    e = fixture(spark, d, edge)
     deg = G.adjacency(e).groupBy("me").agg(F.count_distinct("other").alias("deg"))
     p = e.groupBy("src", "dst").agg(F.max("strength").alias("s"), F.count_distinct("rel").alias("kinds"), F.bool_or(F.col("rel") != "CO_MENTIONED").alias("real")).filter("real")
     c = fixture(spark, d, "fx_company").select("company_id", "industry", "market").join(deg, F.col("company_id") == F.col("me")).drop("me")
@@ -138,7 +138,7 @@ def o09(spark, d):
     """Ranked links with at most two per company: sequential by nature, so it runs over the top of a ranking (a report) in one task."""
     import pandas as pd
 
-    ranked = x23(spark, d).orderBy(F.desc("score"), "src", "dst").limit(500)
+    ranked = x23(spark, d, "fx_link").orderBy(F.desc("score"), "src", "dst").limit(500)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}
@@ -164,13 +164,13 @@ def x24(spark, d):
     return _expanded(spark, d, fixture(spark, d, "fx_event").filter("event_type = 'error' and company_id < 6"))
 
 
-@query("X_24_expand_impact_all", _EXP.replace(" AND company_id < 6", ""))
+@query("X_24_expand_impact_all", _EXP.replace(" AND company_id < 6", "").replace("fx_edge", "fx_link"))
 def x24_all(spark, d):
-    return _expanded(spark, d, fixture(spark, d, "fx_event").filter("event_type = 'error'"))
+    return _expanded(spark, d, fixture(spark, d, "fx_event").filter("event_type = 'error'"), "fx_link")
 
 
-def _expanded(spark, d, events):
-    return G.expand_impact(events.select("company_id").distinct(), fixture(spark, d, "fx_company").select("company_id", "industry"), fixture(spark, d, "fx_edge"))
+def _expanded(spark, d, events, edge="fx_edge"):
+    return G.expand_impact(events.select("company_id").distinct(), fixture(spark, d, "fx_company").select("company_id", "industry"), fixture(spark, d, edge))
 
 
 @query("X_34_news_evidence", "SELECT document_id, company_id, published_at FROM (SELECT m.document_id, m.company_id, e.published_at, ROW_NUMBER() OVER (PARTITION BY m.document_id ORDER BY m.company_id % 5, m.company_id) AS rn FROM fx_mention m JOIN (SELECT document_id, MIN(published_at) AS published_at FROM fx_evidence GROUP BY 1) e USING (document_id)) WHERE rn = 1")
@@ -181,12 +181,12 @@ def x34(spark, d):
 
 
 @query("X_35_corroborate", f"WITH {_PAIRS}, n AS (SELECT MAX(n) AS m FROM pr) SELECT e.src, e.dst, e.rel, round(e.strength + 0.25 * GREATEST(COALESCE(pr.n / n.m, 0), CASE WHEN a.industry = b.industry THEN 0.3 ELSE 0 END), 6) AS score FROM fx_edge e LEFT JOIN pr ON pr.a = e.src AND pr.b = e.dst JOIN fx_company a ON a.company_id = e.src JOIN fx_company b ON b.company_id = e.dst, n")
-def x35(spark, d):
+def x35(spark, d, edge="fx_edge"):
     pairs = _pairs(spark, d)
     top = pairs.agg(F.max("n").alias("m"))
     share = pairs.crossJoin(F.broadcast(top)).select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("n") / F.col("m")).alias("share"))  # one row
     c = fixture(spark, d, "fx_company").select("company_id", "industry")
-    e = fixture(spark, d, "fx_edge").join(share, ["src", "dst"], "left").join(c.toDF("src", "i1"), "src").join(c.toDF("dst", "i2"), "dst")
+    e = fixture(spark, d, edge).join(share, ["src", "dst"], "left").join(c.toDF("src", "i1"), "src").join(c.toDF("dst", "i2"), "dst")
     return e.select("src", "dst", "rel", F.round(F.col("strength") + 0.25 * F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.col("i1") == F.col("i2"), 0.3).otherwise(0.0)), 6).alias("score"))
 
 

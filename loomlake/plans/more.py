@@ -233,8 +233,8 @@ def k02(spark, d):
 
 
 @query("K_04_shard", "SELECT TRUE AS same")
-def k04(spark, d):
-    root, e = shared_path(spark, "k04"), fixture(spark, d, "fx_edge")
+def k04(spark, d, edge="fx_edge"):
+    root, e = shared_path(spark, "k04"), fixture(spark, d, edge)
     e.write.parquet(root)
     return spark.createDataFrame([(publish.same_bag(e, spark.read.parquet(root)),)], "same boolean")
 
@@ -247,9 +247,9 @@ def k15(spark, d):
 
 
 @query("K_16_additive", "SELECT src, dst, rel FROM fx_edge UNION SELECT LEAST(source_company_id, target_company_id), GREATEST(source_company_id, target_company_id), relationship_type FROM fx_evidence WHERE confidence >= 0.99")
-def k16(spark, d):
+def k16(spark, d, edge="fx_edge"):
     """New relations are added where the snapshot has none."""
-    e = fixture(spark, d, "fx_edge").select("src", "dst", "rel")
+    e = fixture(spark, d, edge).select("src", "dst", "rel")
     new = fixture(spark, d, "fx_evidence").filter("confidence >= 0.99").select(F.least("source_company_id", "target_company_id").alias("src"), F.greatest("source_company_id", "target_company_id").alias("dst"), F.col("relationship_type").alias("rel")).distinct()
     return e.unionByName(new.join(e, ["src", "dst", "rel"], "left_anti"))
 
@@ -276,8 +276,8 @@ def k20(spark, d):
 
 
 @query("K_22_stale", "SELECT src, dst, rel FROM fx_edge WHERE strength >= 0.5")
-def k22(spark, d):
-    e = fixture(spark, d, "fx_edge")
+def k22(spark, d, edge="fx_edge"):
+    e = fixture(spark, d, edge)
     return e.join(e.filter("strength >= 0.5").select("src", "dst", "rel"), ["src", "dst", "rel"], "left_semi").select("src", "dst", "rel")
 
 

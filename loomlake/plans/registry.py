@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.plans import graph, more, platform, protocol, quality, scores, serving, text, timeseries
+from loomlake.plans import graph, more, platform, protocol, quality, scores, serving, text, timeseries, whole
 
-_MODULES = (quality, scores, serving, timeseries, graph, text, platform, more, protocol)
+_MODULES = (quality, scores, serving, timeseries, graph, text, platform, more, protocol, whole)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -57,9 +57,9 @@ _A03 = f"""WITH {_W}, t AS (SELECT DISTINCT {_K} FROM fx_evidence WHERE publishe
 SELECT {_K}, window_type, COUNT(*) AS n, round(LEAST(1, 0.5 + 0.35 * (1 - exp(-COUNT(*) / 8))), 6) AS confidence FROM fx_evidence JOIN t USING ({_K}) JOIN w ON published_at >= start_at AND published_at < TIMESTAMP '{AS_OF}' GROUP BY ALL"""
 
 
-def a04(spark, d):
+def a04(spark, d, edge="fx_edge"):
     """Company metrics per window: events, positive and negative share, mean value, relations on either side."""
-    ev, rel = fixture(spark, d, "fx_event"), fixture(spark, d, "fx_edge")
+    ev, rel = fixture(spark, d, "fx_event"), fixture(spark, d, edge)
     w = S.window_table(spark, "2024-01-31", S.SHORT_WINDOWS)
     m = ev.join(F.broadcast(w), S.in_window("dateline")).groupBy("company_id", "window_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "ACTIVE").alias("active"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.round(F.avg("value"), 6).alias("mean_value")
@@ -176,8 +176,8 @@ def a16(spark, d):
 _A16 = "SELECT company_id, MAX(close_price) AS high, MIN(low_price) AS low FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY company_id ORDER BY trading_date DESC) AS rn FROM fx_price) WHERE rn <= 250 GROUP BY 1"
 
 
-def a17(spark, d):
-    e = fixture(spark, d, "fx_edge")
+def a17(spark, d, edge="fx_edge"):
+    e = fixture(spark, d, edge)
     both = e.select(F.col("src").alias("company_id"), F.col("dst").alias("other")).union(e.select("dst", "src"))
     return both.groupBy("company_id").agg(F.count_distinct("other").alias("counterparts"))
 

@@ -1,0 +1,20 @@
+"""Queries on fx_edge, which keeps 1 lineitem in 127, once more on fx_link, which keeps them all."""
+
+from __future__ import annotations
+
+import inspect
+from functools import partial
+
+from loomlake.plans import graph, more, platform, protocol, scores, serving
+from loomlake.plans.fixtures import VIEWS
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+for _m in (scores, serving, graph, platform, more, protocol):
+    for _k, _f in _m.QUERIES.items():
+        _args = inspect.signature(_f).parameters
+        if "edge" in _args:
+            QUERIES[f"{_k}_all"] = partial(_f, edge="fx_link", **({"least": 0.0} if "least" in _args else {}))
+            if _k in _m.SQL:
+                SQL[f"{_k}_all"] = _m.SQL[_k].replace(VIEWS["fx_edge"], VIEWS["fx_link"]).replace(" WHERE strength >= 0.8", "")
