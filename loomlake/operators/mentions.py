@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,20 +153,28 @@ def parse_holders(text: str) -> list[tuple[str, float]]:
 
 
 def first_group_wins(texts: list[str], threshold: float = 0.5, n: int = 3) -> list[int]:
-    """X-33: group of each text: the first earlier group whose first text shares enough n-grams (over the shorter one)."""
-    def grams(t):
-        return {t[k : k + n] for k in range(max(1, len(t) - n + 1))}
-
-    heads: list[set[str]] = []
-    out = []
-    for t in texts:
-        g = grams(t)
-        hit = next((k for k, h in enumerate(heads) if len(g & h) >= threshold * min(len(g), len(h))), None)
-        if hit is None:
-            heads.append(g)
-            hit = len(heads) - 1
-        out.append(hit)
-    return out
+    """X-33: group of each text: the first earlier group with any member that shares enough n-grams (over the shorter one).
+
+    n-grams are of letters and digits alone. Candidates are exact: all earlier texts that share a gram are counted through postings.
+    """
+    postings: dict[str, array] = {}
+    sizes, groups = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    last = 0
+    for k, text in enumerate(texts):
+        t = re.sub(r"[^0-9A-Za-z가-힣]", "", text)
+        g = {t[i : i + n] for i in range(max(1, len(t) - n + 1))}
+        sizes[k], groups[k] = len(g), last
+        known = [np.frombuffer(postings[x], np.int32) for x in g if x in postings]
+        if known:
+            shared = np.bincount(np.concatenate(known), minlength=k)
+            near = groups[:k][shared >= (threshold - 1e-9) * np.minimum(sizes[:k], len(g))]
+            if len(near):
+                groups[k] = near.min()
+        last += groups[k] == last
+        del known
+        for x in g:
+            postings.setdefault(x, array("i")).append(k)
+    return groups.tolist()
 
 
 def linked(surface: str, names: dict[str, str], least: float = 0.9) -> str | None:

@@ -180,15 +180,14 @@ def x18(spark, d):
 
 @query("X_33_first_group")
 def x33(spark, d):
-    """Order-dependent grouping of the titles of one company and language: small groups, each in one task by its nature."""
-    t = fixture(spark, d, "fx_document").filter("title is not null").select("company_id", F.coalesce("lang", F.lit("")).alias("lang"), "document_id", F.substring("title", 1, 40).alias("title"))
-    day = t.withColumn("part", F.pmod(F.xxhash64(F.substring("title", 1, 6)), F.lit(64)))
+    """Order-dependent grouping of the whole texts of one company, in one task by its nature; groups are numbered within the company."""
+    t = _docs(spark, d).select("company_id", "document_id", "body")
 
     def group(pdf):
         pdf = pdf.sort_values("document_id")
-        return pdf.assign(grp=mentions.first_group_wins(pdf["title"].tolist()))[["company_id", "document_id", "grp"]]
+        return pdf.assign(grp=mentions.first_group_wins(pdf["body"].tolist()))[["company_id", "document_id", "grp"]]
 
-    return day.groupBy("company_id", "lang", "part").applyInPandas(group, "company_id bigint, document_id bigint, grp int")
+    return t.groupBy("company_id").applyInPandas(group, "company_id bigint, document_id bigint, grp int")
 
 
 @query("Q_04_conflicting_rows", "SELECT l_orderkey, l_linenumber, COUNT(*) AS versions FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem) GROUP BY 1, 2 HAVING COUNT(*) > 1")

@@ -1,5 +1,7 @@
 """Queries that do the whole job where the SQL of their namesakes has a slice."""
 
+import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomlake.operators import graph
+from loomlake.operators import graph, mentions
 from loomlake.plans import graph as plans
 from loomlake.plans import whole
 from loomlake.plans.fixtures import fixture, with_views
@@ -66,3 +68,39 @@ def test_edges_come_from_all_lineitems(spark):
 @pytest.mark.parametrize("name", sorted(n for n in whole.SQL))
 def test_whole_edges_equal_sql(spark, name):
     same(entry.queries()[name](spark, str(DATA)), views(), entry.oracle_sql()[name], name != "P_21_visible_edges_all")  # no company is without an edge
+
+
+def plain_groups(texts, threshold=0.5, n=3):
+    """X-33 by all pairs."""
+    members, out = [], []
+    for text in texts:
+        t = "".join(re.findall("[0-9A-Za-z가-힣]", text))
+        g = {t[k : k + n] for k in range(max(1, len(t) - n + 1))}
+        hit = next((k for k, m in enumerate(members) if any(len(g & x) / min(len(g), len(x)) >= threshold - 1e-9 for x in m)), len(members))
+        if hit == len(members):
+            members.append([])
+        members[hit].append(g)
+        out.append(hit)
+    return out
+
+
+def test_groups_equal_all_pairs():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcd 가나.") for _ in range(rng.randrange(0, 30))) for _ in range(300)]
+    assert mentions.first_group_wins(texts) == plain_groups(texts) and len(set(plain_groups(texts))) > 20
+    assert mentions.first_group_wins([]) == []
+    # a prefix, an overlap behind character 40, and a chain whose end shares nothing with its head
+    a, b = "the quick brown fox jumps over", "a lazy dog sleeps in the sun today"
+    assert mentions.first_group_wins([a, "Update: " + a, "0123456789" * 5 + b, b, a + b, b + "zyxwvut", "q1w2e3r4"]) == plain_groups([a, "Update: " + a, "0123456789" * 5 + b, b, a + b, b + "zyxwvut", "q1w2e3r4"])
+    assert mentions.first_group_wins(["abcdefgh", "efghijkl", "ijklmnop"], 0.3) == [0, 0, 0]
+
+
+def test_groups_of_a_company_are_its_own(spark):
+    got = {}
+    for r in entry.queries()["X_33_first_group"](spark, str(DATA)).collect():
+        got.setdefault(r.company_id, []).append((r.document_id, r.grp))
+    texts = {r.document_id: r.body for r in fixture(spark, str(DATA), "fx_document").filter("body is not null").collect()}
+    assert sum(map(len, got.values())) == len(texts)
+    for rows in got.values():
+        rows.sort()
+        assert [g for _, g in rows] == plain_groups([texts[k] for k, _ in rows])
