@@ -115,6 +115,14 @@ def j07(spark, d):
     return grid.join(n, ["source_company_id", "window_type"], "left").select("source_company_id", "window_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("J_07_empty_windows_all", "WITH w AS (SELECT * FROM (VALUES ('30D', TIMESTAMP '2001-01-01' - INTERVAL 30 DAY), ('1Y', TIMESTAMP '2000-01-01'), ('10Y', TIMESTAMP '1991-01-01')) v(window_type, start_at)), k AS (SELECT DISTINCT source_company_id FROM fx_evidence), n AS (SELECT source_company_id, window_type, COUNT(*) AS n FROM fx_evidence JOIN w ON published_at >= start_at AND published_at < TIMESTAMP '2001-01-01' GROUP BY 1, 2) SELECT k.source_company_id, w.window_type, COALESCE(n, 0) AS n FROM k CROSS JOIN w LEFT JOIN n USING (source_company_id, window_type)")
+def j07_all(spark, d):
+    ev, w = fixture(spark, d, "fx_evidence"), scores.window_table(spark, "2001-01-01")
+    grid = ev.select("source_company_id").distinct().crossJoin(F.broadcast(w.select("window_type")))  # three windows
+    n = ev.join(F.broadcast(w), scores.in_window("published_at")).groupBy("source_company_id", "window_type").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, ["source_company_id", "window_type"], "left").select("source_company_id", "window_type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _matched(spark, d):
     c = table(spark, d, "companies")
     return mentions.mentions(_docs(spark, d), "document_id", "body", c.select(F.col("name_official").alias("alias"), "ticker").union(c.select("name_en", "ticker")), "alias", "ticker")

@@ -104,3 +104,10 @@ def test_groups_of_a_company_are_its_own(spark):
     for rows in got.values():
         rows.sort()
         assert [g for _, g in rows] == plain_groups([texts[k] for k, _ in rows])
+
+
+def test_windows_count_their_own_evidence(spark):
+    df = entry.queries()["J_07_empty_windows_all"](spark, str(DATA))
+    n = {r.window_type: r.n for r in df.groupBy("window_type").agg(F.sum("n").alias("n")).collect()}
+    assert n["10Y"] > n["1Y"] > n["30D"] > 0
+    same(df, views(), entry.oracle_sql()["J_07_empty_windows_all"])
