@@ -50,7 +50,7 @@ def cut_sentences(c: Column, size: int) -> Column:
 
 def fragments(c: Column) -> Column:
     """F-05: highlight fragments without tags, split at gaps and sentence ends."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"</?b>", ""), r"\.{2,}|(?<=다\.)"), lambda x: F.trim(x)), lambda x: x.rlike(r"[^\s\p{Z}]"))
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"</?b>", ""), r"\.{2,}|(?<=다\.)"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")), lambda x: x.rlike(r"[^\s\p{Z}]"))
 
 
 def trim_boilerplate(c: Column, markers: tuple[str, ...] = ("무단전재", "저작권자", "All rights reserved", "ⓒ", "#")) -> Column:
@@ -112,11 +112,16 @@ def stands_alone(text: str, a: int, b: int) -> bool:
 
 def shingle_overlap(a: Column, b: Column, n: int = 3) -> Column:
     """F-16: shared character n-grams over those of the shorter text; two texts without any have 0."""
+    def let(value, use):  # evaluated once, not once for every use
+        return F.element_at(F.transform(F.array(value), use), 1)
+
     def grams(c):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda k: F.substring(c, k, F.lit(n))))
+        return let(F.split(c, ""), lambda x: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x) - n)), lambda k: F.concat(*[F.coalesce(F.get(x, k + i), F.lit("")) for i in range(n)]))))
+
+    def overlap(p):
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(p["a"], p["b"])).cast("double"), F.least(F.size(p["a"]), F.size(p["b"]))), F.lit(0.0))
 
-    least = F.least(F.size(grams(a)), F.size(grams(b)))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(grams(a), grams(b))).cast("double"), least), F.lit(0.0))
+    return let(F.struct(grams(a).alias("a"), grams(b).alias("b")), overlap)
 
 
 def number(c: Column) -> Column:

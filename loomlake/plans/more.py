@@ -63,6 +63,13 @@ def f02(spark, d):
     return s.groupBy(F.col("id").alias("document_id")).agg(F.sum("n").alias("visible")).filter("visible > 0")
 
 
+@query("F_02_sentences_seen_all")
+def f02_all(spark, d):
+    """Every document, whatever its characters; one without a visible character counts 0."""
+    s = by_row(_docs(spark, d), "document_id", "body", lambda x: [(sum(len("".join(r[2].split())) for r in T.sentences(x)),)], [("n", "int")])
+    return s.select(F.col("id").alias("document_id"), F.col("n").cast("long").alias("visible"))
+
+
 @query("F_03_segments", "SELECT document_id, length(body) AS n FROM fx_document WHERE length(body) > 0")
 def f03(spark, d):
     """Segments concatenate to the text, so their lengths add up to it."""

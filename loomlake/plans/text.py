@@ -35,6 +35,13 @@ def f05(spark, d):
     return t.select("document_id", F.size(T.fragments(F.col("title"))).cast("long").alias("n"))
 
 
+@query("F_05_fragments_all")
+def f05_all(spark, d):
+    """All fragments of all whole texts."""
+    f = _docs(spark, d).select("document_id", T.fragments(F.col("body")).alias("fragments"))
+    return f.select("document_id", F.size("fragments").cast("long").alias("n"), "fragments")
+
+
 @query("F_06_boilerplate", "SELECT document_id, CASE WHEN strpos(body, '#') > 0 THEN strpos(body, '#') - 1 ELSE length(body) END AS at_most FROM fx_document WHERE body IS NOT NULL AND NOT regexp_matches(body, '무단전재|저작권자|All rights reserved|ⓒ')")
 def f06(spark, d):
     x = _docs(spark, d).filter(~F.col("body").rlike("무단전재|저작권자|All rights reserved|ⓒ"))
@@ -69,8 +76,9 @@ def f11(spark, d):
 
 @query("F_16_shingles", None)
 def f16(spark, d):
+    """A title against all of the text behind it."""
     t = fixture(spark, d, "fx_document").filter("title is not null")
-    return t.select("document_id", F.round(T.shingle_overlap(F.col("title"), F.substring("body", 81, 80)), 6).alias("overlap"))
+    return t.select("document_id", F.round(T.shingle_overlap(F.col("title"), F.substring("body", F.length("title") + 1, F.length("body"))), 6).alias("overlap"))
 
 
 @query("F_17_end_of_day", "SELECT trading_date, company_id, CAST(trading_date AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS at FROM fx_price")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loomlake.functions import text as T
 from loomlake.operators import graph, mentions
 from loomlake.plans import graph as plans
 from loomlake.plans import whole
@@ -111,3 +112,41 @@ def test_windows_count_their_own_evidence(spark):
     n = {r.window_type: r.n for r in df.groupBy("window_type").agg(F.sum("n").alias("n")).collect()}
     assert n["10Y"] > n["1Y"] > n["30D"] > 0
     same(df, views(), entry.oracle_sql()["J_07_empty_windows_all"])
+
+
+def bodies(spark):
+    return {r.document_id: r.body for r in fixture(spark, str(DATA), "fx_document").filter("body is not null").collect()}
+
+
+def plain_fragments(text):
+    pieces = re.split(r"\.{2,}", re.sub(r"</?b>", "", text))
+    return [f for f in (s.strip() for p in pieces for s in re.split(r"(?<=다\.)\s*", p)) if f]
+
+
+def test_fragments_equal_plain_python(spark):
+    got = {r.document_id: (r.n, r.fragments) for r in entry.queries()["F_05_fragments_all"](spark, str(DATA)).collect()}
+    want = {k: plain_fragments(t) for k, t in bodies(spark).items()}
+    assert got == {k: (len(f), f) for k, f in want.items()} and any("다." in t for t in bodies(spark).values())
+    texts = ["<b>가</b>나다. 다음　이다.끝", "a..b...c", "하다... 그리고 <b>x", " \n ", "했다..다.다.", "", "😀다.\n😀"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.fragments(F.col("t")).alias("f")).collect()
+    assert {r.k: r.f for r in rows} == {k: plain_fragments(t) for k, t in enumerate(texts)}
+
+
+def test_no_visible_character_is_lost_in_any_document(spark):
+    got = {r.document_id: r.visible for r in entry.queries()["F_02_sentences_seen_all"](spark, str(DATA)).collect()}
+    assert got == {k: len("".join(t.split())) for k, t in bodies(spark).items()}
+    assert any(re.search("[^\x00-힣]", t) for t in bodies(spark).values())
+
+
+def test_overlap_reads_the_whole_text(spark):
+    def grams(t):
+        return {t[k : k + 3] for k in range(max(1, len(t) - 2))}
+
+    got = {r.document_id: r.overlap for r in entry.queries()["F_16_shingles"](spark, str(DATA)).collect()}
+    pairs = {k: (grams(t[:80]), grams(t[80:])) for k, t in bodies(spark).items()}
+    assert got == pytest.approx({k: len(a & b) / min(len(a), len(b)) for k, (a, b) in pairs.items()}, abs=1e-6)
+
+
+def test_overlap_of_short_texts_and_emoji(spark):
+    rows = spark.createDataFrame([("", "abc"), ("ab", "ab"), ("😀가나", "x😀가나다"), ("", ""), ("abcd", "bcde"), (None, "a")], "a string, b string")
+    assert [r[0] for r in rows.select(T.shingle_overlap(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 1.0, 1.0, 0.5, 0.0]
