@@ -53,10 +53,22 @@ def fragments(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(c, r"</?b>", ""), r"\.{2,}|(?<=다\.)"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")), lambda x: x.rlike(r"[^\s\p{Z}]"))
 
 
-def trim_boilerplate(c: Column, markers: tuple[str, ...] = ("무단전재", "저작권자", "All rights reserved", "ⓒ", "#")) -> Column:
-    """F-06: the text before the first marker."""
-    at = F.least(*[F.when(F.instr(c, m) > 0, F.instr(c, m)) for m in markers])
-    return F.when(at.isNotNull(), F.rtrim(F.substring(c, F.lit(1), at - 1))).otherwise(c)
+#: Markers of F-06: anywhere, and at the start of a line alone; three hashtags in a row are one as well.
+BOILERPLATE = (
+    "무단전재", "저작권자", "All rights reserved", "ⓒ", "[뉴스핌 베스트 기사]", "blog.naver.com", "Stocks that made our list", "Stock Advisor",
+    "if you invested $", "made this list on", "The Motley Fool", "StockStory", "Our Top 5", "Read more here", "Sign up for", "Subscribe to",
+    "Disclosure:", "Disclaimer:", "This article was originally published", "Benzinga does not provide",
+)
+BOILERPLATE_LINES = ("많이 본 뉴스", "주요 뉴스", "오늘의 상승종목", "마켓 뉴스", "실시간 암호화폐 시세", "[주요포토]", "종목 추적기", "관련기사", "관련 기사", "함께 보면 좋은", "추천 기사", "인기 기사")
+_BLANK = r"\s\p{Z}\x1c-\x1f\x85"
+
+
+def trim_boilerplate(c: Column, markers: tuple[str, ...] = BOILERPLATE, lines: tuple[str, ...] = BOILERPLATE_LINES) -> Column:
+    """F-06: the text before the first marker, line-start marker or run of three hashtags; its length is the cut in code points."""
+    def either(words):
+        return "|".join(rf"\Q{w}\E" for w in words)
+
+    return F.element_at(F.split(c, rf"{either(markers)}|(?<![^\n])(?:{either(lines)})|(?:#[^{_BLANK}#]{{2,}}[{_BLANK}]*){{3}}", 2), 1)
 
 
 def canonical_url(c: Column) -> Column:

@@ -48,6 +48,13 @@ def f06(spark, d):
     return x.select("document_id", F.when(F.instr("body", "#") > 0, F.instr("body", "#") - 1).otherwise(F.length("body")).cast("long").alias("at_most"))
 
 
+@query("F_06_boilerplate_all")
+def f06_all(spark, d):
+    """All texts, cut before their boilerplate."""
+    x = _docs(spark, d).select("document_id", F.length("body").alias("n"), T.trim_boilerplate(F.col("body")).alias("kept"))
+    return x.select("document_id", F.length("kept").cast("long").alias("cut"), (F.length("kept") < F.col("n")).alias("trimmed"), "kept")
+
+
 @query("F_07_canonical_url", "SELECT event_id, concat('https://ex.example/p/', event_id, '?a=', company_id) AS url FROM fx_event")
 def f07(spark, d):
     raw = F.concat(F.lit(" HTTPS://EX.Example:443/p/"), F.col("event_id").cast("string"), F.lit("/?a="), F.col("company_id").cast("string"), F.lit("#top "))

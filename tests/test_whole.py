@@ -150,3 +150,23 @@ def test_overlap_reads_the_whole_text(spark):
 def test_overlap_of_short_texts_and_emoji(spark):
     rows = spark.createDataFrame([("", "abc"), ("ab", "ab"), ("😀가나", "x😀가나다"), ("", ""), ("abcd", "bcde"), (None, "a")], "a string, b string")
     assert [r[0] for r in rows.select(T.shingle_overlap(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 1.0, 1.0, 0.5, 0.0]
+
+
+def plain_cut(text):
+    """F-06 by single finds."""
+    at = [i for m in T.BOILERPLATE if (i := text.find(m)) >= 0]
+    at += [m.start() for w in T.BOILERPLATE_LINES for m in re.finditer(re.escape(w), text) if m.start() == 0 or text[m.start() - 1] == "\n"]
+    at += [m.start() for m in [re.search(r"(?:#[^\s#]{2,}\s*){3,}", text)] if m]
+    return min(at, default=len(text))
+
+
+def test_boilerplate_is_cut_and_no_text_is_left_out(spark):
+    got = {r.document_id: (r.cut, r.trimmed, r.kept) for r in entry.queries()["F_06_boilerplate_all"](spark, str(DATA)).collect()}
+    want = {k: (plain_cut(t), plain_cut(t) < len(t), t[: plain_cut(t)]) for k, t in bodies(spark).items()}
+    assert got == want
+    texts = {
+        "본문이다. 관련 기사 더 보기": None, "본문이다.\n관련 기사 더": 6, "주요 뉴스 앞": 0, "끝 #하나 이다": None, "끝 #하나 #둘둘 이다": None, "끝 #하나 #둘둘　#셋셋 #넷넷 이다": 2, "#1 #2 #3": None,
+        "😀😀 본문 무단전재 금지": 6, "\r관련기사": None, "[주요포토] a": 0, "a All rights reserved. ⓒ b": 2, "": None, "x\n\n마켓 뉴스\n무단전재": 3, "plain": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("t", T.trim_boilerplate(F.col("t")).alias("kept")).collect()
+    assert {r.t: r.kept for r in rows} == {t: t if n is None else t[:n] for t, n in texts.items()} == {t: t[: plain_cut(t)] for t in texts}
