@@ -93,3 +93,24 @@ def expand_impact(seeds: DataFrame, members: DataFrame, edges: DataFrame) -> Dat
     near = adjacency(edges).join(seeds, F.col("me") == F.col("company_id")).select(F.col("other").alias("company_id"), (0.06 * F.col("strength")).alias("s"), F.lit("graph").alias("r"))
     g = direct.unionByName(industry).unionByName(near).groupBy("company_id").agg(F.round(F.max("s"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("r")), ",").alias("reasons"))
     return g
+
+
+def greedy_list(ranked: DataFrame, cap: int = 2, most: int = 500) -> DataFrame:
+    """O-09: the ``most`` best links (src, dst, score) with at most ``cap`` per node: each link is taken in order of rank if both ends have room.
+
+    Sequential by nature, so one task reads all links, sorted and batch by batch; it holds the counts of the nodes taken alone.
+    """
+
+    def pick(batches):
+        used: dict = {}
+        taken = 0
+        for pdf in batches:
+            keep = []
+            for k, (a, b) in enumerate(zip(pdf["src"], pdf["dst"])):
+                if taken < most and used.get(a, 0) < cap and used.get(b, 0) < cap:
+                    used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+                    taken += 1
+                    keep.append(k)
+            yield pdf.iloc[keep]
+
+    return ranked.repartition(1).sortWithinPartitions(F.desc("score"), "src", "dst").mapInPandas(pick, ranked.schema)

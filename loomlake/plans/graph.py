@@ -135,22 +135,8 @@ def x23(spark, d, edge="fx_edge"):
 
 @query("O_09_greedy_list", None)
 def o09(spark, d):
-    """Ranked links with at most two per company: sequential by nature, so it runs over the top of a ranking (a report) in one task."""
-    import pandas as pd
-
-    ranked = x23(spark, d, "fx_link").orderBy(F.desc("score"), "src", "dst").limit(500)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        keep = []
-        for r in pdf.sort_values(["score", "src", "dst"], ascending=[False, True, True]).itertuples():
-            if used.get(r.src, 0) < 2 and used.get(r.dst, 0) < 2:
-                used[r.src] = used.get(r.src, 0) + 1
-                used[r.dst] = used.get(r.dst, 0) + 1
-                keep.append(r.Index)
-        return pdf.loc[keep]
-
-    return ranked.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: pick(pdf.drop(columns="all")), ranked.schema)
+    """Ranked links with at most two per company, of all links."""
+    return G.greedy_list(x23(spark, d, "fx_link"))
 
 
 _EXP = f"""WITH {_ADJ}, sd AS (SELECT DISTINCT company_id FROM fx_event WHERE event_type = 'error' AND company_id < 6), u AS (SELECT company_id, 1.0 AS s, 'direct' AS r FROM sd UNION ALL

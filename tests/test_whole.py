@@ -170,3 +170,16 @@ def test_boilerplate_is_cut_and_no_text_is_left_out(spark):
     }
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("t", T.trim_boilerplate(F.col("t")).alias("kept")).collect()
     assert {r.t: r.kept for r in rows} == {t: t if n is None else t[:n] for t, n in texts.items()} == {t: t[: plain_cut(t)] for t in texts}
+
+
+def test_greedy_list_reads_links_behind_the_500th(spark):
+    rng = random.Random(3)
+    links = [(0, k, 1.0 - k / 10_000) for k in range(1, 700)] + [(1000 + rng.randrange(60), 1100 + rng.randrange(60), rng.randrange(1, 500) / 1000) for _ in range(3000)]
+    used, want = {}, []
+    for a, b, s in sorted(links, key=lambda x: (-x[2], x[0], x[1])):
+        if used.get(a, 0) < 2 and used.get(b, 0) < 2:
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+            want.append((a, b, s))
+    df = spark.createDataFrame(links, "src long, dst long, score double").repartition(5)
+    assert [tuple(r) for r in graph.greedy_list(df).collect()] == want and len(want) > 100
+    assert [tuple(r) for r in graph.greedy_list(df, most=7).collect()] == want[:7]
