@@ -5,7 +5,8 @@ declared match semantics (as for SQL foreign keys):
 
 * ``simple``: a reference with any null column is not checked;
 * ``partial``: the non-null columns must occur together in some target row;
-* ``full``: all null is not checked, some null is an orphan of kind ``malformed``, none null is checked.
+* ``full``: all null is not checked, some null is an orphan of kind ``malformed``, none null is checked;
+* ``each`` (``orphan_fields``): every non-null column is a reference of its own, to a table of its own.
 
 A reference whose target exists may still be an orphan: ``deleted`` if every target row has a deletion time, ``late`` if the
 earliest arrival among rows without one is after the reference's own time. Target rows are reduced to one row per key
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.operators.skew import join_split
+from loomlake.session import written
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], at: str, arrived: str, deleted: str, match: str = "simple", always: tuple[str, ...] = ()) -> DataFrame:
@@ -61,6 +63,26 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], at:
     return reduce(DataFrame.unionByName, found)
 
 
+def orphan_fields(refs: DataFrame, targets: dict[str, DataFrame], at: str, arrived: str = "arrived", deleted: str = "deleted") -> DataFrame:
+    """Match semantics ``each``: (columns of refs but the keys, fld, kind), one row per orphan column of a reference.
+
+    targets: for each key column of refs its target table (key, arrived, deleted). A row's null mask says which columns it refers by;
+    rows of a mask go to the anti-joins of its non-null columns, tagged by the column, so one join serves all masks and a table is
+    read once however many columns it has. Kinds, nulls and empty tables as for ``orphan_references``; all null gives no row.
+    """
+    kept = [c for c in refs.columns if c not in targets and c not in ("fld", "kind")]
+    names = sorted(targets)
+    mask = sum(F.when(F.col(n).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, n in enumerate(names))
+    rows = refs.select(F.struct(*kept).alias("_row"), F.col(at).alias("_at"), *names, mask.alias("_mask")).filter("_mask > 0")
+    present = [F.when(F.col("_mask").bitwiseAND(1 << k) > 0, F.struct(F.lit(n).alias("_fld"), F.col(n).alias("_key"))) for k, n in enumerate(names)]
+    rows = written(rows.select("_row", "_at", F.inline(F.array_compact(F.array(*present)))), "orphans-references")
+    live = F.col("_deleted").isNull()
+    side = reduce(DataFrame.unionByName, [targets[n].select(F.lit(n).alias("_fld"), F.col("key").alias("_key"), F.col(arrived).alias("_arrived"), F.col(deleted).alias("_deleted")) for n in names])
+    summary = side.filter("_key is not null").groupBy("_fld", "_key").agg(F.max(live).alias("_live"), F.min(F.when(live, F.col("_arrived"))).alias("_first"))
+    kind: Column = F.when(F.col("_live").isNull(), "missing").when(~F.col("_live"), "deleted").when(F.col("_first") > F.col("_at"), "late")
+    return join_split(rows, summary, ["_fld", "_key"]).withColumn("kind", kind).filter("kind is not null").select("_row.*", F.col("_fld").alias("fld"), "kind")
+
+
 def orphan_report(orphans: DataFrame, by: list[str]) -> DataFrame:
     """Orphans counted per table and period."""
     return orphans.groupBy(*by).agg(F.count(F.lit(1)).alias("orphans"))

@@ -1,14 +1,20 @@
 """Publication: data first, attested, and one small file last that makes a run valid (K-01 to K-18, S-24, Q-09, Q-10).
 
-A reader follows the pointer, so it sees the old version or the new one, never a part. Hashing runs on the executors: one task
-per file through Spark's binary source, nothing is read on the driver.
+A reader follows the pointer, so it sees the old version or the new one, never a part. Hashing runs on the executors, block by
+block; the driver reads markers and manifests alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,27 +33,80 @@ class Folder:
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.at(name))
 
-    def put(self, name: str, text: str) -> None:
-        """Through a draft and a rename: the name never shows half a text."""
-        draft = f"draft-{uuid.uuid4().hex}"
-        out = self.fs.create(self.at(draft), True)
+    def _draft(self, text: str):
+        draft = self.at(f".draft-{uuid.uuid4().hex}")
+        out = self.fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self.at(name), False)
-        if not self.fs.rename(self.at(draft), self.at(name)):
-            raise RuntimeError(f"{self.path}/{name} could not be written")
+        return draft
+
+    def _rename(self, draft, name: str, replace: bool) -> None:
+        """One rename of the file system's own: it replaces the target at once, or refuses a target that exists."""
+        jvm = self.jvm
+        gateway = self.spark.sparkContext._gateway
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(kind, 1 if replace else 0)
+        if replace:
+            options[0] = kind.OVERWRITE
+        self.fs.mkdirs(self.at(name).getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(draft, self.at(name), options)
+
+    def put(self, name: str, text: str) -> None:
+        """Through a draft and one replacing rename: the name shows the old text or the new one, never half a text."""
+        self._rename(self._draft(text), name, True)
+
+    def put_new(self, name: str, text: str) -> None:
+        """As ``put``, but a name that exists is refused (FileExistsError): of two writers one wins."""
+        draft = self._draft(text)
+        try:
+            self._rename(draft, name, False)
+        except Py4JJavaError as e:
+            self.fs.delete(draft, False)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise FileExistsError(f"{self.path}/{name}") from None
+            raise
 
     def get(self, name: str) -> str:
-        return "\n".join(r[0] for r in self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect())
+        """A small file's text, read by the driver alone: no job."""
+        stream = self.fs.open(self.at(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def get_all(self, name: str) -> list[str]:
+        """The texts of the small files in a folder, by name; none if there is no such folder. Drafts are left out."""
+        folder = Folder(self.spark, f"{self.path}/{name}")
+        return [folder.get(n) for n in folder.names() if not n.startswith(".")]
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
 
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(""))) if self.fs.exists(self.at("")) else []
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            fs, at = pafs.FileSystem.from_uri(path)
+            h = hashlib.sha256()
+            with fs.open_input_stream(at) as f:
+                while block := f.read(8 << 20):
+                    h.update(block)
+            digests.append(h.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Q-10: (file, bytes, sha256) of the data files below a path; files must fit a task each."""
+    """Q-10: (file, bytes, sha256) of the data files below a path, file being relative to it. Files are read in blocks of 8 MB by
+    the executors, so no file need fit a task."""
+    root = Folder(spark, path).fs.makeQualified(Folder(spark, path).at("")).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = files.select(F.regexp_replace("path", r"^file:/+", "file:///").alias("path"), F.col("length").alias("bytes")).mapInArrow(_hashed, "path string, bytes long, sha256 string")
+    return files.select(F.expr(f"substring(path, {len(re.sub(r'^file:/+', 'file:///', root)) + 2})").alias("file"), "bytes", "sha256")
 
 
 def publish(df: DataFrame, root: str, as_of: str, keys: list[str], partition_by: list[str] | None = None) -> str:
@@ -72,15 +131,20 @@ def publish(df: DataFrame, root: str, as_of: str, keys: list[str], partition_by:
     stored = spark.read.parquet(f"{root}/{run}/data")
     if stored.count() != digest["n"] or not null_keys(stored, keys).isEmpty() or not duplicate_keys(stored, keys).isEmpty():
         raise ValueError(f"{run}: rows are missing, or keys are null or repeated")
-    files = inventory(spark, f"{root}/{run}/data").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256")).first()
-    manifest = {"run": run, "as_of": as_of, "rows": digest["n"], "fingerprint": fingerprint, **files.asDict()}
+    inventory(spark, f"{root}/{run}/data").write.parquet(f"{root}/{run}/inventory")
+    # The inventory is a table of its own, however many files there are; the manifest holds its order-free digest.
+    own = F.sha2(F.concat_ws("|", "file", "bytes", "sha256"), 256)
+    parts = [F.sum(F.conv(F.substring(own, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"d{k}") for k in range(4)]
+    files = spark.read.parquet(f"{root}/{run}/inventory").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), *parts).first()
+    attested = hashlib.sha256("|".join(str(files[f"d{k}"]) for k in range(4)).encode()).hexdigest()
+    manifest = {"run": run, "as_of": as_of, "rows": digest["n"], "fingerprint": fingerprint, "files": files["files"], "bytes": files["bytes"], "sha256": attested}
     Folder(spark, f"{root}/{run}").put("manifest.json", json.dumps(manifest))
     folder.put(f"VERIFIED-{run}", json.dumps(manifest))
     return run
 
 
 def latest(spark: SparkSession, root: str) -> dict | None:
-    """S-24: the verified run with the newest as-of."""
+    """S-24: the verified run with the newest as-of. Markers are small files that the driver reads itself."""
     folder = Folder(spark, root)
     marks = [json.loads(folder.get(n)) for n in folder.names() if n.startswith("VERIFIED-")]
     return max(marks, key=lambda m: (m["as_of"], m["run"]), default=None)

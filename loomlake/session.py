@@ -26,21 +26,23 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary one is made."""
+    """The folder named by spark.checkpoint.dir; only on a local master (tests, one machine) a temporary one is made where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     known = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loomlake-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_root(spark)}/loomlake/{purpose}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder, in the application's folder."""
+    return f"{shared_root(spark)}/loomlake/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -48,4 +50,22 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later step reads."""
+    for df in frames:
+        _delete(df.sparkSession, df._written_at)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application left below the shared folder: for when its results have been read or written elsewhere."""
+    _delete(spark, f"{shared_root(spark)}/loomlake/{spark.sparkContext.applicationId}")

@@ -40,16 +40,27 @@ def land(stream: DataFrame, root: str, checkpoint: str, available_now: bool = Tr
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 seconds")).start()
 
 
-def land_once(stream: DataFrame, root: str, checkpoint: str, store: SeenStore):
-    """ST-01, ST-04, ST-05: of each identifier the first batch's best arrival (newest, then highest offset) is landed, in whatever batches it comes."""
+def once_sink(root: str, store: SeenStore):
+    """The foreachBatch function of ``land_once``: prepare, write the rows, commit the identifiers, in this order.
+
+    A batch is named by its number. Killed before the commit, its replay finds the identifiers unseen and writes the same rows over
+    what was left; killed after it, the replay reads the arrivals of the batch's own version. Either way each arrival is landed once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.withColumn("_key", F.concat_ws(":", "event_id", "partition", "offset", F.unix_micros("collected_at")))
-        kept = store.take(batch, F.col("event_id"), F.struct(F.coalesce("collected_at", F.lit("1970-01-01").cast("timestamp")).alias("t"), "offset", "partition"), "_key")
+        rank = F.struct(F.coalesce("collected_at", F.lit("1970-01-01").cast("timestamp")).alias("t"), "offset", "partition")
+        prepared = store.prepare(batch, F.col("event_id"), rank, "_key", f"batch-{number}")
         # The same arrival may stand in the batch twice (a replay), so its key alone is not yet one row.
-        batch.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").write.mode("overwrite").parquet(f"{root}/batch={number}")
+        batch.join(store.arrivals(prepared, "_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").write.mode("overwrite").parquet(f"{root}/batch={number}")
+        store.commit(prepared)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write
+
+
+def land_once(stream: DataFrame, root: str, checkpoint: str, store: SeenStore):
+    """ST-01, ST-04, ST-05: of each identifier the first batch's best arrival (newest, then highest offset) is landed, in whatever batches it comes."""
+    return stream.writeStream.foreachBatch(once_sink(root, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert(stream: DataFrame, root: str, checkpoint: str, key: str, cancelled: F.Column):

@@ -74,3 +74,15 @@ def test_empty(spark):
 def test_mixture_weights():
     w = fit_mixtures([("x", "month_first", None, 90), ("x", "month_first", "day_first", 10)])["x"]
     assert w["month_first"] > 0.95 and sum(w.values()) == pytest.approx(1)
+
+
+def test_every_source_has_its_own_mixture_however_many(spark):
+    """The same text is read by what its own source writes; none are merged, whatever their number."""
+    rows = []
+    for k in range(300):
+        day = k % 2
+        rows += [(f"s{k}", f"{d:02d}/01/2023" if day else f"01/{d:02d}/2023") for d in range(13, 29)]
+        rows.append((f"s{k}", "03/04/2023"))
+    df = spark.createDataFrame([(s, v, SEOUL) for s, v in rows], "s string, v string, z string")
+    got = {(r.s): r.reading for r in normalise_times(df, "v", "z", "s", ALL).filter("v = '03/04/2023'").collect()}
+    assert got == {f"s{k}": "day_first" if k % 2 else "month_first" for k in range(300)}

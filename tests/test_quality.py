@@ -6,9 +6,10 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.operators.containers import clean_path, committed_path, index, pack, unpack
+from loomlake.operators.containers import CONTAINER, clean_path, committed_path, index, index_table, lookup, lookup_all, pack, unpack, write_archive
 from loomlake.operators.once import SeenStore, repeated
-from loomlake.operators.orphans import orphan_references
+from loomlake.operators.publish import Folder
+from loomlake.operators.orphans import orphan_fields, orphan_references
 from loomlake.operators.skew import join_split
 from loomlake.session import shared_path
 
@@ -84,3 +85,75 @@ def test_messages_once_over_batches(spark):
     assert store.dictionary().select("shard", "code").distinct().count() == store.dictionary().count() == len(seen)
     empty = spark.createDataFrame([], "key long, id string, rank int")
     assert repeated(empty, F.col("id"), F.struct("rank", "key"), "key", store).count() == 0
+
+
+def _batch(spark, rows):
+    return spark.createDataFrame(rows, "key long, id string, rank int")
+
+
+def test_a_kill_between_the_steps_loses_nothing_and_a_replay_takes_nothing(spark):
+    path = shared_path(spark, "test-replay")
+    rank = F.struct("rank", -F.col("key"))
+    rows = _batch(spark, [(1, "a", 1), (2, "a", 2), (3, "b", 1)])
+    first = SeenStore(spark, path, 4)
+    left = first.prepare(rows, F.col("id"), rank, "key", "1")  # killed before the commit
+    assert sorted(r.key for r in first.arrivals(left, "key").collect()) == [2, 3]
+    again = SeenStore(spark, path, 99)
+    assert again.shards == 4 and again.versions() == [] and again.dictionary().count() == 2  # sighted, not accepted
+    assert sorted(r.key for r in again.take(rows, F.col("id"), rank, "key", "1").collect()) == [2, 3]
+    assert sorted(r.key for r in SeenStore(spark, path).take(rows, F.col("id"), rank, "key", "1").collect()) == [2, 3]  # its own arrivals once more
+    assert SeenStore(spark, path).take(rows, F.col("id"), rank, "key", "another").count() == 0
+    assert sorted(r.key for r in again.take(_batch(spark, [(9, "b", 5), (10, "c", 1)]), F.col("id"), rank, "key", "2").collect()) == [10]
+    with pytest.raises(FileExistsError):  # a second writer that prepared on an older state
+        first.commit(left)
+
+
+def test_bits_decide_and_a_base_keeps_them(spark):
+    store = SeenStore(spark, shared_path(spark, "test-base"), 2, base_every=2)
+    rank = F.struct("rank", "key")
+    for k in range(5):
+        got = store.take(_batch(spark, [(10 * k, "old", 1), (10 * k + 1, f"n{k}", 1)]), F.col("id"), rank, "key", f"b{k}")
+        assert sorted(r.key for r in got.collect()) == ([0, 1] if k == 0 else [10 * k + 1])
+    assert store.bitmaps().selectExpr("sum(bitmap_count(bits)) n").first().n == 6
+    # Without its bits the dictionary alone lets an identifier through again.
+    Folder(spark, store.path).delete("seen-commits")
+    assert sorted(r.key for r in store.take(_batch(spark, [(99, "old", 1)]), F.col("id"), rank, "key").collect()) == [99]
+
+
+def test_small_files_are_replaced_at_once_or_refused(spark):
+    folder = Folder(spark, shared_path(spark, "test-folder"))
+    folder.put("a", "1")
+    folder.put("a", "2")
+    assert folder.get("a") == "2"
+    with pytest.raises(FileExistsError):
+        folder.put_new("a", "3")
+    assert folder.get("a") == "2" and [n for n in folder.names() if not n.startswith(".")] == ["a"]
+
+
+def test_lookup_reads_the_containers_of_the_index(spark):
+    root = shared_path(spark, "test-archive")
+    files = [(f"/f/{k:03d}", bytes([k % 256]) * 50) for k in range(200)] + [("/f/007", b"again")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    write_archive(pack(df, "path", "content", 500), root)
+    write_archive(pack(spark.createDataFrame([("/g/1", b"later")], "path string, content binary"), "path", "content"), root)  # appended
+    assert index_table(spark, root).count() == 202
+    held = spark.read.schema(CONTAINER).parquet(f"{root}/containers")
+    assert held.select("container_id").distinct().count() == held.count()
+    assert sorted(bytes(r.content) for r in lookup(spark, root, ["/f/007", "/g/1", "/none"]).collect()) == sorted([b"\x07" * 50, b"again", b"later"])
+    assert lookup(spark, root, []).count() == 0
+    plan = lookup(spark, root, ["/f/007"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(container_id" in plan or "In(container_id" in plan
+    wanted = spark.createDataFrame([("/f/001",), ("/f/150",), ("/f/001",)], "p string")
+    assert sorted(r.path for r in lookup_all(spark, root, wanted, "p").collect()) == ["/f/001", "/f/150"]
+
+
+def test_each_present_column_is_a_reference(spark):
+    refs = spark.createDataFrame([(1, "a", None), (2, "z", "k"), (3, None, None), (4, "late", "gone"), (4, "late", "gone")], "id int, x string, y string").withColumn("at", F.lit("2024-01-02").cast("timestamp"))
+
+    def side(rows):
+        return spark.createDataFrame(rows, "key string, arrived string, deleted string").select("key", F.col("arrived").cast("timestamp"), F.col("deleted").cast("timestamp"))
+
+    targets = {"x": side([("a", "2024-01-01", None), ("late", "2024-02-01", None), ("late", None, "2024-01-01")]), "y": side([("k", None, None), ("gone", "2023-01-01", "2024-01-01")])}
+    got = sorted((r.id, r.fld, r.kind) for r in orphan_fields(refs, targets, "at").collect())
+    assert got == [(2, "x", "missing"), (4, "x", "late"), (4, "x", "late"), (4, "y", "deleted"), (4, "y", "deleted")]
+    assert orphan_fields(refs.limit(0), targets, "at").count() == 0
