@@ -6,21 +6,24 @@ diagonal bands; a band with fewer than the bound holds for the item's shortest p
 by alignment within the band. Characters are those of the words (see ``words``) with single spaces between them, so neither
 punctuation nor spelling of the same word matters. Counting is arithmetic on arrays over many documents at once.
 
-Items are the small side. They are held by every task in blocks of ``block`` items; more items mean more passes over the
-documents, never a larger table in a task.
+Up to ``block`` items are held by every task, and the documents are read once. More items are joined on q-grams: of both sides the
+least gram of every run of ``window`` grams is kept, so texts that agree in q + window - 1 characters share a kept one, and a passage
+with e edits has an unharmed run of at least its e + 1-th part. Only grams that pass a bitmap of fixed size made from the items
+leave the documents. The pairs that meet go through the same bands and the same alignment; neither items nor documents ever come to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomlake.llm.words import gram_hashes, streams
+from loomlake.session import written
 
 
 class Items:
@@ -50,13 +53,14 @@ class Items:
         self.item, self.pos = item[order], pos[order]
         self.hash, first = np.unique(h[order], return_index=True)
         self.first = np.append(first, len(h))
-        self.near = np.zeros(1 << 20, bool)
-        self.near[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.near = np.zeros(1 << 20, bool) if len(ids) > 8 else None
+        if self.near is not None:
+            self.near[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
     def bands(self, stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, least diagonal) of the bands that meet the bound; diagonals by positions in the stream."""
         h = gram_hashes(stream, self.q)
-        at = np.flatnonzero(self.near[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.arange(len(h)) if self.near is None else np.flatnonzero(self.near[(h >> np.uint64(44)).astype(np.int64)])
         if not len(self.hash) or not len(at):
             return (np.zeros(0, np.int64),) * 3
         where = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
@@ -93,29 +97,35 @@ class Items:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
             return bool(((gaps[edges[1::2]] - gaps[edges[::2]]) > self.least).any())
         at, e = self.spaces[item], self.edits
-        for a, b in zip(at, at[self.least :]):
-            lo, hi = max(0, a + diagonal - e), min(len(doc), b + 1 + diagonal + 3 * e + 2)
-            if hi > lo and within(own[a : b + 1].tolist(), doc[lo:hi].tolist(), e):
-                return True
-        return False
-
-
-def within(a: list[int], b: list[int], k: int) -> bool:
-    """Whether a can be turned into some run of b by k edits at most; only diagonals that can still matter are filled."""
-    far = k + 1
-    row = [0] * (len(b) + 1)
-    slack = len(b) - len(a) + k
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - k), min(len(b), i + slack)
-        new = [far] * (len(b) + 1)
-        if lo == 1:
-            new[0] = min(i, far)
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1, far)
-        row = new
-        if min(row) >= far:
-            return False
-    return min(row) <= k
+        # The shared grams lie on 2e + 2 diagonals from this one on; the alignment may leave them by e on either side.
+        return bool(aligned(own, doc, at[: -self.least], at[self.least :] + 1, diagonal - e, 4 * e + 2, e).any())
+
+
+def aligned(own: np.ndarray, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, diagonal: int, width: int, most: int) -> np.ndarray:
+    """For each passage own[start:end]: whether it can be turned into some run of doc by ``most`` edits along the ``width`` diagonals
+    from ``diagonal`` on. All passages advance together, a character at a time; a row of the table is the band alone."""
+    k = np.arange(width)
+    cost = np.zeros((len(starts), width), np.int32)
+    length = ends - starts
+    found = np.zeros(len(starts), bool)
+    for i in range(int(length.max(initial=0))):
+        live = np.flatnonzero((length > i) & ~found)
+        live = live[cost[live].min(1, initial=most + 1) <= most]
+        if not len(live):
+            break
+        at = starts[live] + i
+        j = at[:, None] + diagonal + k
+        inside = (j >= 0) & (j < len(doc))
+        same = (doc[np.clip(j, 0, len(doc) - 1)] == own[at][:, None]) & inside
+        old = cost[live]
+        new = old + ~same
+        new[:, :-1] = np.minimum(new[:, :-1], old[:, 1:] + 1)
+        for c in range(1, width):
+            np.minimum(new[:, c], new[:, c - 1] + 1, out=new[:, c])
+        cost[live] = new
+        done = live[length[live] == i + 1]
+        found[done] = cost[done].min(1, initial=most + 1) <= most
+    return found
 
 
 def _search(ids: list, texts: list[str], least: int, edits: int, out_type: pa.DataType):
@@ -145,6 +155,83 @@ def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatc
         a = b
 
 
+def kept_grams(h: np.ndarray, window: int) -> np.ndarray:
+    """The distinct values that are least in some run of ``window`` of them; all of a shorter array's least."""
+    if not len(h):
+        return h
+    if len(h) <= window:
+        return h.min(keepdims=True)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, window).min(1))
+
+
+def _grams(q: int, window: int, near, kinds: tuple[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                stream, begin = streams(part.column(1).to_pylist())
+                at, out = [], []
+                for k in range(part.num_rows):
+                    h = kept_grams(gram_hashes(np.append(stream[begin[k] : begin[k + 1]], np.uint32(32)), q), window)
+                    if near is not None:
+                        h = h[near.value[(h >> np.uint64(44)).astype(np.int64)]]
+                    at.append(np.full(len(h), k))
+                    out.append(h)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64), pa.int64())), pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], names=[kinds[0], "gram"])
+
+    return run
+
+
+def _check(least: int, edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (text, item) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                items = Items([0], [item], least, edits)
+                stream, begin = streams([text])
+                doc = np.append(stream[begin[0] : begin[1]], np.uint32(32))
+                keep.append(any(items.holds(doc, 0, diagonal - begin[0]) for diagonal in sorted(set(items.bands(stream, begin)[2].tolist()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["text_id", "item"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _shortest(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stream, begin = streams(batch.column(0).to_pylist())
+            out = []
+            for k in range(batch.num_rows):
+                at = np.flatnonzero(np.append(stream[begin[k] : begin[k + 1]], np.uint32(32)) == 32)
+                if len(at) > least:
+                    out.append(int((at[least:] - at[:-least] - 1).min()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], names=["n"])
+
+    return run
+
+
+def leaked_by_join(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, least: int, edits: int) -> DataFrame:
+    """The pairs of ``leaked`` for any number of items."""
+    spark, kind = docs.sparkSession, items.schema[item_id].dataType.simpleString()
+    own = items.select(items[item_id].alias("item"), items[item_text].alias("text")).filter("text is not null")
+    shortest = own.select("text").mapInArrow(_shortest(least), "n int").agg(F.min("n")).first()[0]
+    if shortest is None:
+        return docs.select(docs[doc_id].alias(doc_id), F.lit(None).cast(kind).alias(item_id)).filter("false")
+    run = max(2, (shortest - edits) // (edits + 1))
+    q = max(2, 2 * run // 3)
+    window = run - q + 1
+    grams = written(own.mapInArrow(_grams(q, window, None, ("item", kind)), f"item {kind}, gram bigint"), "leaks-grams")
+    near = np.zeros(1 << 20, bool)
+    for r in grams.select(F.shiftrightunsigned("gram", 44).alias("g")).distinct().toLocalIterator():  # of 2 ** 20 values at most
+        near[r["g"]] = True
+    texts = docs.select(docs[doc_id].alias("key"), F.md5(docs[doc_text]).alias("text_id"), docs[doc_text].alias("text")).filter("text is not null")
+    found = texts.select("text_id", "text").mapInArrow(_grams(q, window, spark.sparkContext.broadcast(near), ("text_id", "string")), "text_id string, gram bigint").distinct()
+    pairs = written(found.join(grams, "gram").select("text_id", "item").distinct(), "leaks-pairs")
+    once = texts.select("text_id", "text").join(pairs.select("text_id").distinct(), "text_id", "left_semi").dropDuplicates(["text_id"])
+    whole = pairs.join(once, "text_id").join(own.dropDuplicates(["item", "text"]).withColumnRenamed("text", "item_text"), "item")
+    good = whole.select("text_id", "item", "text", "item_text").mapInArrow(_check(least, edits), f"text_id string, item {kind}").distinct()
+    return texts.select("key", "text_id").join(good, "text_id").select(F.col("key").alias(doc_id), F.col("item").alias(item_id))
+
+
 def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, edits: int = 0, block: int = 2000) -> DataFrame:
     """Pairs (doc_id, item_id), each once per document row, where the document holds ``least`` consecutive words of the item,
     up to ``edits`` character edits in the passage.
@@ -154,12 +241,11 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
     """
     if item_id == doc_id:
         raise ValueError("document and item need different names")
-    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).toLocalIterator() if r[1]]
+    few = items.select(item_id, item_text).limit(block + 1).collect()
+    if len(few) > block:
+        return leaked_by_join(docs, doc_id, doc_text, items, item_id, item_text, least, edits)
+    rows = [(r[0], r[1]) for r in few if r[1]]
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     arrow = pa.string() if kinds[1] == "string" else {"bigint": pa.int64(), "int": pa.int32()}[kinds[1]]
     source = docs.select(docs[doc_id].alias("key"), docs[doc_text].alias("text"))
-    passes = [
-        source.mapInArrow(_search([i for i, _ in part], [t for _, t in part], least, edits, arrow), f"key {kinds[0]}, item {kinds[1]}")
-        for part in ([rows[k : k + block] for k in range(0, len(rows), block)] or [[]])
-    ]
-    return reduce(DataFrame.unionByName, passes).toDF(doc_id, item_id)
+    return source.mapInArrow(_search([i for i, _ in rows], [t for _, t in rows], least, edits, arrow), f"key {kinds[0]}, item {kinds[1]}").toDF(doc_id, item_id)

@@ -1,9 +1,15 @@
 """Problem 2: variant spellings of names typed by people.
 
-Names of entities are entries of an inverted index, cut into three segments each; the readings of an alias look up
-position-shifted substrings in it. Two spellings within two edits share one of three segments unharmed (pigeonhole), shifted no
-further than the edits before and after it allow, so for each length of entry a reading has one to three places to look. Pairs
-that meet are verified with the banded edit distance of the JVM.
+Names of entities are entries of an inverted index, cut into one segment more than the edits their length allows; the readings of an
+alias look up position-shifted substrings in it. Two spellings within k edits share one of k + 1 segments unharmed (pigeonhole),
+shifted no further than the edits before and after it allow.
+
+* From nine characters: two edits, three segments; one to three places to look for each length of entry.
+* Four to eight: one edit or one swap of neighbours, two segments; a swap across the cut harms both, so the reading with its two middle
+  characters swapped is looked up as well.
+* Three: one replaced character; the two others are the key, one key for each place.
+
+So a key is of two characters at least. Pairs that meet are verified with the banded edit distance of the JVM.
 
 A name is a core and a business word (``Korvan | Logistics``). Business words are learned: what follows the core in the names
 themselves, in either script, paired over the entities that have both. An alias may
@@ -12,7 +18,7 @@ themselves, in either script, paired over the entities that have both. An alias
 * be made of syllables: the first of the core, or its first two, or its first and last, and the first of the business word;
 * put the business word first, abbreviate it, take it from the other language, or leave it out (then its core must be one entity's alone);
 * have been typed on the wrong keyboard layout;
-* have typing errors: one edit or swap from four characters on (a replaced one of three), two edits from nine.
+* have typing errors: one edit or one swap of neighbours from four characters on (a replaced one of three), two edits from nine.
 
 An alias that ends in another known business word than the entity's is another company. The readings with the least cost count;
 an alias is linked if they all mean one entity.
@@ -23,6 +29,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import pyarrow as pa
@@ -75,80 +82,76 @@ def parts(name: str, fold: bool = True) -> list[str]:
 class Business:
     """Business words: Latin phrases (token tuples) and the Hangul suffix that goes with each, if any."""
 
-    def __init__(self, names: list[tuple[str, list[str]]], least: int = 3):
-        """names: (entity, its names)."""
-        latin, pairs = {}, {}
-        for entity, own in names:
-            split = [parts(n) for n in own if n]
-            phrases = {tuple(t[1:]) for t in split if len(t) > 1 and not _HANGUL.search("".join(t))}
-            for p in phrases:
-                latin.setdefault(p, set()).add(entity)
-                for t in split:
-                    whole = "".join(t)
-                    if _HANGUL.search(whole):
-                        pairs.setdefault(p, set()).add(whole)
-        self.latin = {p for p, who in latin.items() if len(who) >= least}
-        self.hangul: dict[str, tuple[str, ...]] = {}
-        for p in self.latin:
-            ends: dict[str, int] = {}
-            for w in pairs.get(p, ()):
-                for k in (2, 3, 4):
-                    if len(w) > k:
-                        ends[w[-k:]] = ends.get(w[-k:], 0) + 1
-            n = len(pairs.get(p, ()))
-            good = [e for e, c in ends.items() if n >= least and c > 0.6 * n]
-            if good:
-                self.hangul[max(good, key=len)] = p
+    def __init__(self, phrases: list[tuple[tuple[str, ...], str | None]]):
+        """phrases: (phrase, its Hangul suffix or None), a suffix with one phrase."""
+        self.latin = {p for p, _ in phrases}
+        self.hangul: dict[str, tuple[str, ...]] = {h: p for p, h in phrases if h}
         self.of = {p: h for h, p in self.hangul.items()}
-        self.words = sorted({w for p in self.latin for w in p})
-        self.suffixes = sorted(self.hangul, key=len, reverse=True)
-        self.joined = sorted(("".join(p) for p in self.latin), key=len, reverse=True)
-        self.phrase = {"".join(p): p for p in self.latin}
+        self.words = {w for p in self.latin for w in p}
+        self.begun: dict[str, list[str]] = {}
+        for w in sorted(self.words):
+            self.begun.setdefault(w[0], []).append(w)
+        self.longer: dict[str, list[tuple[str, ...]]] = {}
+        for p in sorted(self.latin):
+            if len(p) > 1:
+                self.longer.setdefault(p[-1], []).append(p)
+        self.suffixes = set(self.hangul)
+        self.phrase = {"".join(p): p for p in sorted(self.latin)}
+        self.lengths = sorted({len(s) for s in self.phrase}, reverse=True), sorted({len(s) for s in self.suffixes}, reverse=True)
+        self.expanded = lru_cache(maxsize=200_000)(self._expanded)
+
+    def __getstate__(self):
+        return sorted((p, self.of.get(p)) for p in self.latin)
+
+    def __setstate__(self, phrases):
+        self.__init__(phrases)
+
+    def _ending(self, whole: str, known, lengths: list[int], more: int = 0) -> str | None:
+        """The longest known word, longer than ``more``, that ends the text and leaves something before it: a look-up a length."""
+        for k in lengths:
+            if more < k < len(whole) and whole[-k:] in known:
+                return whole[-k:]
+        return None
 
     def split(self, tokens: list[str]) -> tuple[str, tuple[str, ...] | None]:
         """Core and business word of a name's tokens, the word null if there is none."""
         whole = "".join(tokens)
         known = [k for k in (1, 2, 3) if len(tokens) > k and tuple(tokens[-k:]) in self.latin]
         if known:
-            end = "".join(tokens[-known[-1] :])
-            for s in self.joined:  # "korvanheavy industries" ends in the longer phrase
-                if len(s) > len(end) and whole.endswith(s) and len(whole) > len(s):
-                    return whole[: -len(s)], self.phrase[s]
+            # "korvanheavy industries" ends in the longer phrase
+            longer = self._ending(whole, self.phrase, self.lengths[0], len("".join(tokens[-known[-1] :])))
+            if longer:
+                return whole[: -len(longer)], self.phrase[longer]
             return "".join(tokens[: -known[-1]]), tuple(tokens[-known[-1] :])
-        for s in self.suffixes:
-            if whole.endswith(s) and len(whole) > len(s):
-                return whole[: -len(s)], self.hangul[s]
-        for s in self.joined:
-            if whole.endswith(s) and len(whole) > len(s):
-                return whole[: -len(s)], self.phrase[s]
+        suffix = self._ending(whole, self.suffixes, self.lengths[1])
+        if suffix:
+            return whole[: -len(suffix)], self.hangul[suffix]
+        joined = self._ending(whole, self.phrase, self.lengths[0])
+        if joined:
+            return whole[: -len(joined)], self.phrase[joined]
         return whole, None
 
-    def expanded(self, token: str) -> list[str]:
-        """Business words that a token abbreviates (same first letter, letters in order), itself not being one."""
+    def _expanded(self, token: str) -> tuple[str, ...]:
+        """Business words that a token abbreviates (same first letter, letters in order), itself not being one. Of words with its first
+        letter alone; each token is worked out once."""
         if token in self.words or len(token) < 2 or not token.isascii():
-            return []
+            return ()
         out = []
-        for w in self.words:
-            if w[0] == token[0] and len(token) < len(w):
+        for w in self.begun.get(token[0], ()):
+            if len(token) < len(w):
                 rest = iter(w)
                 if all(c in rest for c in token):
                     out.append(w)
         begun = [w for w in out if w.startswith(token)]
-        return begun or out
-
-    def entries(self, own: list[str]) -> set[tuple[str, str, str]]:
-        """(spelling, kind, business word) of an entity's names; kind full, core for the core alone, short for syllables picked from core and word."""
-        out, cores, phrases = set(), set(), set()
-        for n in own:
-            core, phrase = self.split(parts(n)) if n else ("", None)
-            if not core:
-                continue
-            if phrase is None:
-                out.add((core, "full", ""))
-            else:
-                cores.add((core, phrase))
-                phrases.add(phrase)
-        for core, phrase in cores:
+        return tuple(begun or out)
+
+    def entries(self, name: str) -> set[tuple[str, str, str]]:
+        """(spelling, kind, business word) of a name; kind full, core for the core alone, short for syllables picked from core and word."""
+        out = set()
+        core, phrase = self.split(parts(name)) if name else ("", None)
+        if core and phrase is None:
+            out.add((core, "full", ""))
+        elif core:
             key = "".join(phrase)
             out.add((core, "core", key))
             out.add((core + key, "full", key))
@@ -197,63 +200,131 @@ class Business:
                         if self.split(full)[1] is not None:
                             add(full)
                         elif len(choice) == 1:
-                            for p in self.latin:
-                                if len(p) > 1 and p[-1] == choice[0]:
-                                    add([t[0], *p])
+                            for p in self.longer.get(choice[0], ()):
+                                add([t[0], *p])
         return {r for r in out if r[0]}
 
 
-def _readings(business: Business):
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a name may teach: its words after the first (Latin), or the whole of it (with Hangul)."""
+    for batch in batches:
+        at, phrase, whole = [], [], []
+        for k, n in enumerate(batch.column(1).to_pylist()):
+            t = parts(n)
+            joined = "".join(t)
+            if not t or len(t) == 1 and not _HANGUL.search(joined):
+                continue
+            korean = _HANGUL.search(joined) is not None
+            at.append(k)
+            phrase.append(None if korean else " ".join(t[1:]))
+            whole.append(joined if korean else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(phrase, pa.string()), pa.array(whole, pa.string())], names=["entity", "phrase", "whole"])
+
+
+def business_words(names: DataFrame, least: int = 3, share: float = 5e-5) -> Business:
+    """Learned from all names (entity, name): what follows the first word in the Latin names of ``least`` entities and of ``share`` of
+    them, with the Hangul ending that most of their Hangul names have.
+
+    Counted in Spark. An entity has few such phrases, so no more than (its phrases) / share can pass: what comes to the driver does
+    not grow with the names.
+    """
+    taught = written(names.mapInArrow(_phrases, "entity string, phrase string, whole string").distinct(), "names-taught")
+    latin = taught.filter("phrase is not null").select("entity", "phrase").distinct()
+    least = max(least, int(share * names.select("entity").distinct().count()))
+    good = latin.groupBy("phrase").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select("phrase")
+    pairs = latin.join(F.broadcast(good), "phrase").join(taught.filter("whole is not null").select("entity", "whole"), "entity").select("phrase", "whole").distinct()  # good: bounded, see above
+    total = pairs.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    ends = pairs.select("phrase", F.explode(F.array_compact(F.array(*[F.when(F.length("whole") > k, F.expr(f"right(whole, {k})")) for k in (2, 3, 4)]))).alias("end"))
+    ends = ends.groupBy("phrase", "end").agg(F.count(F.lit(1)).alias("c")).join(total, "phrase").filter((F.col("n") >= least) & (F.col("c") > 0.6 * F.col("n")))
+    best = ends.groupBy("phrase").agg(F.max(F.struct(F.length("end").alias("l"), "c", "end")).alias("b"))
+    rows = good.join(best, "phrase", "left").select("phrase", "b.end", "b.c").collect()
+    owner: dict[str, tuple] = {}
+    for r in rows:
+        if r["end"]:
+            owner[r["end"]] = max(owner.get(r["end"], (0, "")), (r["c"], r["phrase"]))
+    return Business([(tuple(r["phrase"].split(" ")), r["end"] if r["end"] and owner[r["end"]][1] == r["phrase"] else None) for r in rows])
+
+
+def _readings(business):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(a, *r) for a in batch.column(0).to_pylist() for r in sorted(business.readings(a))]
+            rows = [(a, *r) for a in batch.column(0).to_pylist() for r in sorted(business.value.readings(a))]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["alias", "probe", "kind", "word"])
 
     return run
 
 
-def _segments(n: F.Column) -> list[tuple[F.Column, F.Column]]:
+def _entries(business):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(e, *x) for e, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in sorted(business.value.entries(n))]
+            cols = list(zip(*rows)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["entity", "spelling", "kind", "word"])
+
+    return run
+
+
+def _thirds(n: F.Column) -> list[tuple[F.Column, F.Column]]:
     """Starts (from 0) and lengths of three segments of an entry of n characters; the last ones are the longer."""
     a, r = F.floor(n / 3).cast("int"), (n % 3).cast("int")
     lengths = [a, a + (r > 1).cast("int"), a + (r > 0).cast("int")]
     return [(F.lit(0), lengths[0]), (lengths[0], lengths[1]), (lengths[0] + lengths[1], lengths[2])]
 
 
-def candidates(probes: DataFrame, entries: DataFrame, edits: int = 2) -> DataFrame:
+def _halves(n: F.Column) -> list[tuple[F.Column, F.Column]]:
+    a = F.floor(n / 2).cast("int")
+    return [(F.lit(0), a), (a, (n - a).cast("int"))]
+
+
+LONG = 9
+
+
+def candidates(probes: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs of probes (probe, kind, ...) and entries (spelling, kind, ...) of one kind that share a segment, each once."""
-    n = F.length("spelling")
-    cut = [F.struct(F.lit(i).alias("i"), F.substring(F.col("spelling"), s + 1, k).alias("seg")) for i, (s, k) in enumerate(_segments(n))]
-    index = entries.filter(n >= 3).select("spelling", "kind", n.alias("n"), F.explode(F.array(*cut)).alias("c")).select("spelling", "kind", "n", "c.i", "c.seg")
-    m = F.length("probe")
-    looks = []
-    for delta in range(-edits, edits + 1):  # the probe is longer than the entry by delta
-        for i, (s, k) in enumerate(_segments(m - delta)):
-            for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-                at = s + shift
-                ok = (m - delta >= 3) & (at >= 0) & (at + k <= m)
-                looks.append(F.when(ok, F.struct((m - delta).alias("n"), F.lit(i).alias("i"), F.substring(F.col("probe"), at + 1, k).alias("seg"))))
+    n, m = F.length("spelling"), F.length("probe")
+
+    def key(i: int, seg: F.Column, length: F.Column) -> F.Column:
+        return F.struct(length.cast("int").alias("n"), F.lit(i).alias("i"), seg.alias("seg"))
+
+    def part(text: F.Column, at: F.Column, k: F.Column) -> F.Column:
+        return F.substring(text, at + 1, k)
+
+    def others(text: F.Column) -> list[F.Column]:
+        """The two other characters for each place of three."""
+        return [F.concat(F.substring(text, 2, 2)), F.concat(F.substring(text, 1, 1), F.substring(text, 3, 1)), F.substring(text, 1, 2)]
+
+    s = F.col("spelling")
+    cut = [F.when(n >= LONG, key(i, part(s, at, k), n)) for i, (at, k) in enumerate(_thirds(n))]
+    cut += [F.when((n >= 4) & (n < LONG), key(i, part(s, at, k), n)) for i, (at, k) in enumerate(_halves(n))]
+    cut += [F.when(n == 3, key(i, x, n)) for i, x in enumerate(others(s))]
+    index = entries.filter(n >= 3).select("spelling", "kind", F.explode(F.array_compact(F.array(*cut))).alias("c")).select("spelling", "kind", "c.n", "c.i", "c.seg")
+    p, looks = F.col("probe"), []
+    for edits, of, low, high in ((2, _thirds, LONG, None), (1, _halves, 4, LONG)):
+        for delta in range(-edits, edits + 1):  # the probe is longer than the entry by delta
+            length = m - delta
+            fits = (length >= low) & (F.lit(True) if high is None else length < high)
+            for i, (start, k) in enumerate(of(length)):
+                for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
+                    at = start + shift
+                    looks.append(F.when(fits & (at >= 0) & (at + k <= m), key(i, part(p, at, k), length)))
+    half = F.floor(m / 2).cast("int")
+    swapped = F.concat(part(p, F.lit(0), half - 1), part(p, half, F.lit(1)))  # the first half of the entry whose two middle characters were swapped
+    looks.append(F.when((m >= 4) & (m < LONG), key(0, swapped, m)))
+    looks += [F.when(m == 3, key(i, x, m)) for i, x in enumerate(others(p))]
     asked = probes.filter(m >= 3).select("probe", "kind", F.explode(F.array_compact(F.array(*looks))).alias("c")).select("probe", "kind", "c.n", "c.i", "c.seg").distinct()
     return asked.join(index, ["n", "i", "seg", "kind"]).select("probe", "spelling", "kind").distinct()
 
 
-def link_names(aliases: DataFrame, alias: str, names: DataFrame, entity: str, name: str, most_names: int = 1_000_000) -> DataFrame:
+def link_names(aliases: DataFrame, alias: str, names: DataFrame, entity: str, name: str) -> DataFrame:
     """(alias, entity): each distinct alias that means exactly one entity.
 
     Null, blank and letterless aliases are linked to nothing; repeated aliases are linked once; names may repeat, be null or be
-    shared (a shared name links nothing). The business words are learned on the driver from at most ``most_names`` names.
+    shared (a shared name links nothing). The business words are counted over all names.
     """
-    by_entity = names.filter(F.col(entity).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(entity).cast("string").alias("entity")).agg(F.array_sort(F.collect_set(name)).alias("own"))
-    known = [(r["entity"], r["own"]) for r in by_entity.orderBy("entity").limit(most_names).toLocalIterator()]
-    business = Business(known)
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(e, *x) for e, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in sorted(business.entries(own))]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["entity", "spelling", "kind", "word"])
-
-    entries = written(by_entity.mapInArrow(enter, "entity string, spelling string, kind string, word string"), "names-entries")
+    known = names.filter(F.col(entity).isNotNull() & F.col(name).isNotNull()).select(F.col(entity).cast("string").alias("entity"), F.col(name).cast("string").alias("name")).distinct()
+    business = aliases.sparkSession.sparkContext.broadcast(business_words(known))
+    entries = written(known.mapInArrow(_entries(business), "entity string, spelling string, kind string, word string").distinct(), "names-entries")
     typed = aliases.select(F.col(alias).cast("string").alias("alias")).filter("alias is not null").distinct()
     readings = written(typed.mapInArrow(_readings(business), "alias string, probe string, kind string, word string"), "names-readings")
 
@@ -267,9 +338,11 @@ def link_names(aliases: DataFrame, alias: str, names: DataFrame, entity: str, na
     long = F.col("kind") != "short"  # picked syllables are looked up exactly
     pairs = candidates(open_.filter(long).select("probe", "kind").distinct(), entries.filter(long).select("spelling", "kind").distinct())
     lev = F.levenshtein(F.col("probe"), F.col("spelling"), 2)
-    same = F.array_sort(F.split("probe", "")) == F.array_sort(F.split("spelling", ""))
-    n = F.least(F.length("probe"), F.length("spelling"))
-    cost = F.when(n < 4, F.when((F.col("lev") == 1) & (F.length("probe") == 3) & (F.length("spelling") == 3), 1)).when(F.col("lev") == 1, 1).when((F.col("lev") == 2) & same, 1).when((F.col("lev") == 2) & (n >= 9), 2)
+    n, p = F.least(F.length("probe"), F.length("spelling")), F.col("probe")
+    swap = (F.length("probe") == F.length("spelling")) & F.exists(
+        F.sequence(F.lit(1), F.length("probe") - 1), lambda k: F.concat(F.substring(p, F.lit(1), k - 1), F.substring(p, k + 1, F.lit(1)), F.substring(p, k, F.lit(1)), F.substring(p, k + 2, F.length(p))) == F.col("spelling")
+    )
+    cost = F.when(n < 4, F.when((F.col("lev") == 1) & (F.length("probe") == 3) & (F.length("spelling") == 3), 1)).when(F.col("lev") == 1, 1).when((F.col("lev") == 2) & swap, 1).when((F.col("lev") == 2) & (n >= LONG), 2)
     near = pairs.withColumn("lev", lev).filter("lev between 1 and 2").withColumn("cost", cost).filter("cost is not null").drop("lev")
     near = open_.join(near, ["probe", "kind"]).join(own, ["spelling", "kind"]).filter(agree("word", "w")).select("alias", "entity", "cost")
     hits = exact.unionByName(near).groupBy("alias", "entity").agg(F.min("cost").alias("cost"))

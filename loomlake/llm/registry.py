@@ -54,12 +54,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def p8_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an item with up to two edited characters among them."""
+    return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", edits=2)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed(table(spark, d, "documents"), "doc_id", "text")
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

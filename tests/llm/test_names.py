@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomlake.llm.names import candidates, hangul_of_keys, link_names, parts
+from loomlake.llm.names import business_words, candidates, hangul_of_keys, link_names, parts
 
 
 def levenshtein(a, b):
@@ -17,20 +17,29 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_no_pair_within_two_edits_is_missed(spark):
+def within_rule(p, w):
+    """The typing errors that the linker takes: one edit from four characters on (a replaced one of three), a swap of neighbours, two edits from nine."""
+    n, lev = min(len(p), len(w)), levenshtein(p, w)
+    if n < 4:
+        return len(p) == len(w) == 3 and lev <= 1
+    swap = len(p) == len(w) and any(p[:k] + p[k + 1] + p[k] + p[k + 2 :] == w for k in range(len(p) - 1))
+    return lev <= 1 or swap or (lev == 2 and n >= 9)
+
+
+def test_no_pair_within_the_errors_of_its_length_is_missed(spark):
     rng = random.Random(7)
-    words = {"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 13))) for _ in range(250)}
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 14))) for _ in range(300)}
     probes = set()
     for w in words:
         t = list(w)
         for _ in range(rng.randrange(3)):
             k = rng.randrange(len(t) + 1)
-            rng.choice([lambda: t.insert(k, "d"), lambda: t.__delitem__(slice(k, k + 1)), lambda: t.__setitem__(slice(k, k + 1), "a")])()
+            rng.choice([lambda: t.insert(k, "d"), lambda: t.__delitem__(slice(k, k + 1)), lambda: t.__setitem__(slice(k, k + 1), "a"), lambda: t.__setitem__(slice(k, k + 2), t[k : k + 2][::-1])])()
         probes.add("".join(t))
     entries = spark.createDataFrame([(w, "full") for w in words], "spelling string, kind string")
     asked = spark.createDataFrame([(p, "full") for p in probes], "probe string, kind string")
     got = {(r.probe, r.spelling) for r in candidates(asked, entries).collect()}
-    want = {(p, w) for p in probes if len(p) >= 3 for w in words if levenshtein(p, w) <= 2}
+    want = {(p, w) for p in probes if len(p) >= 3 for w in words if within_rule(p, w)}
     assert want <= got and len(want) > 200
 
 
@@ -63,3 +72,12 @@ def test_each_variant(spark):
     nothing = spark.createDataFrame([], "t string, n string")
     assert link_names(rows, "alias", nothing, "t", "n").count() == 0
     assert link_names(rows.limit(0), "alias", nothing, "t", "n").count() == 0
+
+
+def test_business_words_are_counted_over_all_names(spark):
+    """A word that only the last names hold is learned as well, and an entity with very many names weighs once."""
+    rows = [(f"a{k:05d}", f"Core{k} Alpha") for k in range(40)] + [("a00000", f"Other{k} Single") for k in range(500)]
+    rows += [(f"z{k}", n) for k in range(4) for n in (f"Last{k} Omega", f"라스{k}오메가")]
+    b = business_words(spark.createDataFrame(rows, "entity string, name string"))
+    assert b.latin == {("alpha",), ("omega",)} and b.hangul == {"오메가": ("omega",)}
+    assert b.expanded("omg") == ("omega",) and b.expanded("omega") == ()

@@ -75,6 +75,41 @@ def test_leaks_within_edits(spark):
     assert leaked(left, "doc_id", "text", right, "item_id", "text").count() == 0
 
 
+def test_edited_passages_equal_brute_force_with_either_plan(spark):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([8, 14, 20])))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        t = list(items[rng.randrange(12)][1])
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(t))
+            rng.choice([lambda: t.insert(at, "z"), lambda: t.__delitem__(at), lambda: t.__setitem__(at, "q")])()
+        docs.append((k, " ".join(rng.choice(vocab) for _ in range(9)) + " " + "".join(t) + " " + " ".join(rng.choice(vocab) for _ in range(7))))
+
+    def close(p, t, most):
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(p, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row) <= most
+
+    want = set()
+    for d, t in docs:
+        text = " " + " ".join(words(t)) + " "
+        for i, x in items:
+            y = words(x)
+            if any(close(" " + " ".join(y[k : k + 12]) + " ", text, 2) for k in range(len(y) - 11)):
+                want.add((d, i))
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert 10 < len(want) < 60
+    for block in (2000, 5):
+        assert {tuple(r) for r in leaked(left, "doc_id", "text", right, "item_id", "text", edits=2, block=block).collect()} == want
+    assert leaked(left, "doc_id", "text", right, "item_id", "text").count() < len(want)
+
+
 def test_stuffing(spark):
     rng = random.Random(6)
     base = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ro", "sa", "te") for b in ("ba", "ding", "fort", "gel", "hun", "jar", "kel", "lim", "mon", "nor", "pel", "quin")]
