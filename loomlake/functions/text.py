@@ -142,30 +142,60 @@ def number(c: Column) -> Column:
     return F.when(~t.isin("", "-"), t).try_cast("double")
 
 
-def blend(news: Column, filed: Column, weight: float) -> Column:
-    """F-31: weighted mean of both parts; a single part counts double its weight, capped at 100; one decimal, halves up."""
-    both = weight * news + (1 - weight) * filed
-    one = F.when(filed.isNull(), F.least(F.lit(100.0), 2 * weight * news)).otherwise(F.least(F.lit(100.0), 2 * (1 - weight) * filed))
-    raw = F.when(news.isNotNull() & filed.isNotNull(), both).otherwise(one)
-    return F.floor(raw * 10 + 0.5) / 10
+def blend(score: Column, news: Column, filed: Column, weight: float, usual: float = 0.5) -> Column:
+    """F-31: the score shown for a weight of news. Both parts: the stored score at the usual weight, else their weighted mean. One part: double
+    its weight of it, itself at most. None: null. One decimal, halves up."""
+    def shown(c):
+        return F.floor(c * 10 + 0.5) / 10
+
+    one = F.when(filed.isNull(), F.least(news, 2 * weight * news)).otherwise(F.least(filed, 2 * (1 - weight) * filed))
+    both = score if weight == usual else shown(weight * news + (1 - weight) * filed)
+    return F.when(news.isNotNull() & filed.isNotNull(), both).otherwise(shown(one))
+
+
+def relevance(sentences: Column, companies: Column) -> Column:
+    """F-27: .25 + .55 x depth + .20 / companies, depth rising from one to four sentences; at most 1."""
+    depth = (F.greatest(F.lit(1), F.least(F.lit(4), sentences)) - 1) / 3.0
+    return F.round(F.least(F.lit(1.0), 0.25 + 0.55 * depth + 0.2 / F.greatest(companies, F.lit(1))), 6)
+
+
+def sentence_confidence(sentences: Column) -> Column:
+    """F-27: .40 + .15 for each sentence, at most 1."""
+    return F.round(F.least(F.lit(1.0), 0.4 + 0.15 * sentences), 6)
 
 
 def similar(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-#: Rules of F-33: type, pattern; the order settles ties.
-NEWS_TYPES = (("EARNINGS", "영업이익|실적|operating profit|net income|revenue"), ("CONTRACT", "계약|공급|contract|supply|ships"), ("CAPITAL", "유상증자|회사채|notes worth|rights offering"), ("LEGAL", "소송|patent case|reaches court"))
+#: Types of F-33 with their patterns, the more special first. A caller may bring rules of its own.
+NEWS_TYPES = (
+    ("LEGAL", ("소송", "제소", "patent case", "lawsuit", "reaches court")),
+    ("EARNINGS", ("영업이익", "실적", "operating profit", "net income", "cash flow")),
+    ("CONTRACT", ("계약", "공급", "licensing deal", "contract", "ships")),
+    ("CAPITAL", ("유상증자", "회사채", "notes worth", "rights offering")),
+    ("PLANT", ("공장", "증설", "a plant for", "trial runs")),
+)
+
+
+def news_type(title: Column, body: Column, rules=NEWS_TYPES, least: int = 2, other: str = "OTHER") -> Column:
+    """F-33: struct(kind, confidence). Each pattern found in the title gives three points to its type, in the body one; the type with most points wins
+    from ``least`` on, an earlier type wins a tie; confidence is its share of all points. Else ``other`` with 0."""
+    def found(c, p):
+        return F.coalesce(c.rlike(p), F.lit(False)).cast("int")
+
+    def let(value, use):  # evaluated once, not once for every use
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    points = F.array(*[sum(3 * found(title, p) + found(body, p) for p in patterns) for _, patterns in rules])
+    names = F.array(*[F.lit(n) for n, _ in rules])
 
+    def decide(x):
+        top = F.array_max(x)
+        share = F.round(top / F.aggregate(x, F.lit(0), lambda a, v: a + v), 6)
+        return F.struct(F.when(top >= least, F.element_at(names, F.array_position(x, top).cast("int"))).otherwise(other).alias("kind"), F.when(top >= least, share).otherwise(0.0).alias("confidence"))
 
-def news_type(title: Column, body: Column) -> Column:
-    """F-33: title hits weigh three, body hits one; at least two points; the first type wins a tie."""
-    points = [F.coalesce(title.rlike(p), F.lit(False)).cast("int") * 3 + F.coalesce(body.rlike(p), F.lit(False)).cast("int") for _, p in NEWS_TYPES]
-    best = F.greatest(*points)
-    out = F.lit(None).cast("string")
-    for (name, _), p in reversed(list(zip(NEWS_TYPES, points))):
-        out = F.when(p == best, name).otherwise(out)
-    return F.when(best >= 2, out)
+    return let(points, decide)
 
 
 def argmax_label(probabilities: Column, labels: tuple[str, ...]) -> Column:

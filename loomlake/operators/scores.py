@@ -55,21 +55,26 @@ def evidence_mean(evidence: DataFrame, windows: DataFrame) -> DataFrame:
     key = ["source_company_id", "target_company_id", "relationship_type"]
     rows = canonical(evidence).withColumn("micro", (F.col("score") * 1_000_000).cast("long"))
     rows = rows.select(*key, "document_id", "document_type", "published_at", "impact_direction", "micro").distinct()  # rows that disagree are for dq.conflicts
-    grid = rows.select(*key).distinct().crossJoin(F.broadcast(windows.select("window_type")))  # at most a few windows
-    inside = rows.join(F.broadcast(windows), in_window("published_at"))
     news, filed = F.col("document_type") == "NEWS", F.col("document_type") == "DISCLOSURE"
-    sums = inside.groupBy(*key, "window_type").agg(
-        F.sum(F.when(news, F.col("micro"))).alias("news_sum"), F.count_if(news).alias("news_n"), F.sum(F.when(filed, F.col("micro"))).alias("disclosure_sum"), F.count_if(filed).alias("disclosure_n"),
-        F.collect_set("impact_direction").alias("directions"),
-    )
-    out = grid.join(sums, [*key, "window_type"], "left")
+    cells = []  # a few windows, all in one aggregate: no grid, no range join
+    for w in windows.collect():
+        start = F.lit(True) if w["start_at"] is None else F.col("published_at") >= F.lit(w["start_at"]).cast("timestamp_ntz")
+        inside = start & (F.col("published_at") < F.lit(w["end_at"]).cast("timestamp_ntz"))
+        direction = F.when(inside, F.col("impact_direction"))
+        cells.append(
+            F.struct(
+                F.lit(w["window_type"]).alias("window_type"), F.sum(F.when(inside & news, F.col("micro"))).alias("news_sum"), F.count_if(inside & news).alias("news_n"),
+                F.sum(F.when(inside & filed, F.col("micro"))).alias("disclosure_sum"), F.count_if(inside & filed).alias("disclosure_n"), F.min(direction).alias("low"), F.max(direction).alias("high"),
+            )
+        )
+    out = rows.groupBy(*key).agg(F.array(*cells).alias("cells")).select(*key, F.inline("cells"))
     n, d = half_up_mean(F.col("news_sum"), F.col("news_n")), half_up_mean(F.col("disclosure_sum"), F.col("disclosure_n"))
     out = out.withColumn("news_micro", n).withColumn("disclosure_micro", d)
     both = F.col("news_micro").isNotNull() & F.col("disclosure_micro").isNotNull()
     score = F.when(both, half_up_mean(F.col("news_micro") + F.col("disclosure_micro"), F.lit(2))).otherwise(F.coalesce("news_micro", "disclosure_micro"))
     return out.select(
         *key, "window_type", "news_micro", "disclosure_micro", score.alias("score_micro"),
-        F.coalesce("news_n", F.lit(0)).alias("news_n"), F.coalesce("disclosure_n", F.lit(0)).alias("disclosure_n"), F.when(F.size("directions") == 1, F.element_at("directions", 1)).alias("direction"),
+        F.coalesce("news_n", F.lit(0)).alias("news_n"), F.coalesce("disclosure_n", F.lit(0)).alias("disclosure_n"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("direction"),
     )
 
 
@@ -83,12 +88,12 @@ def saturating_support(evidence: DataFrame, windows: DataFrame, scale: float = 5
     return part.select(*key, F.round("n", 6).alias("news_score"), F.round("d", 6).alias("disclosure_score"), F.round(F.least(F.lit(100.0), blend), 6).alias("score"))
 
 
-def evidence_confidence(evidence: DataFrame) -> DataFrame:
+def evidence_confidence(evidence: DataFrame, publisher: str = "publisher") -> DataFrame:
     """A-32: .50 + .35(1 - e^(-n/8)), +.05 for a disclosure, +.05 for both sources, +.03 for two publishers or more, +.02 for a span of 180 days, at most 1."""
     key = ["source_company_id", "target_company_id", "relationship_type"]
     g = canonical(evidence).groupBy(*key).agg(
         F.count_distinct("document_id").alias("n"), F.bool_or(F.col("document_type") == "DISCLOSURE").alias("d"), F.bool_or(F.col("document_type") == "NEWS").alias("w"),
-        F.count_distinct(F.col("document_id") % 7).alias("publishers"), F.datediff(F.max("published_at"), F.min("published_at")).alias("span"),
+        F.count_distinct(publisher).alias("publishers"), F.datediff(F.max("published_at"), F.min("published_at")).alias("span"),
     )
     def bonus(c, v):
         return F.when(c, v).otherwise(0.0)
@@ -97,6 +102,11 @@ def evidence_confidence(evidence: DataFrame) -> DataFrame:
     return g.select(*key, "n", F.round(F.least(F.lit(1.0), total), 6).alias("confidence"))
 
 
+def invest_score(stake: Column) -> Column:
+    """A-05: 100(1 - e^(-stake / .28)), 0 below a twentieth; stake as a share."""
+    return F.when(stake < 0.05, 0.0).otherwise(F.round(F.least(F.lit(100.0), -100 * F.expm1(-stake / 0.28)), 6))
+
+
 def noisy_or(edges: DataFrame, key: list[str], confidence: str, least: float = 0.5) -> DataFrame:
     """A-06: 1 - product(1 - confidence) per key, kept from ``least`` on; one certain piece makes the edge certain."""
     c = F.col(confidence).cast("double")

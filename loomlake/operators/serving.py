@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.session import written
+
 
 def optional(df: DataFrame, **wanted) -> DataFrame:
     """P-06: equality filters for those parameters that are given."""
@@ -50,6 +52,15 @@ def top_per(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> D
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def ranked_by(df: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
+    """df with its position from 0 in a total order, without one task that sees all rows: rows are sorted in ranges, written, and each
+    range's rows are counted; a row's rank is its place in its range plus the rows of the ranges before. The order must have no ties."""
+    own = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranked")
+    counts = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    return own.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
 def both_ways(df: DataFrame, a: str, b: str, directed: Column | None = None) -> DataFrame:
     """J-15, U-01: each relation seen from either end (from its source alone where ``directed``), as (me, other, ...)."""
     forward = df.withColumns({"me": F.col(a), "other": F.col(b)})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomlake.sources.tables import table
 
-_BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+_BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "companies", "company_relationship", "load_relation_evidence")
 
 VIEWS = {
     "fx_company": """SELECT s.s_suppkey AS company_id, s.s_name AS name, n.n_name AS industry, r.r_name AS market,
@@ -33,9 +33,19 @@ VIEWS = {
     "fx_mention": """SELECT DISTINCT document_id, company_id FROM (SELECT o_orderkey AS document_id, l_suppkey % 30 AS company_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey
  UNION ALL SELECT o_orderkey, l_partkey % 10 FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x""",
     "fx_edge": """SELECT CAST(LEAST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS src, CAST(GREATEST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS dst, CASE l_returnflag WHEN 'R' THEN 'SUPPLY' WHEN 'A' THEN 'PARTNER' ELSE 'CO_MENTIONED' END AS rel,
- MAX(l_discount) * 10 AS strength, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 AND l_quantity > 48 AND l_orderkey % 5 = 0 GROUP BY 1, 2, 3""",
-    "fx_link": """SELECT CAST(LEAST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS src, CAST(GREATEST(l_suppkey % 40, l_partkey % 40) AS BIGINT) AS dst, CASE l_returnflag WHEN 'R' THEN 'SUPPLY' WHEN 'A' THEN 'PARTNER' ELSE 'CO_MENTIONED' END AS rel,
  MAX(l_discount) * 10 AS strength, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 GROUP BY 1, 2, 3""",
+    # The real relations: codes as spelt are brought to one form, undirected pairs merged; co-mentions from the evidence rows.
+    "fx_relation": """SELECT src, dst, rel, strength, n FROM (
+ SELECT CASE WHEN rel IN ('PARTNER', 'COMPETE') THEN LEAST(s, t) ELSE s END AS src, CASE WHEN rel IN ('PARTNER', 'COMPETE') THEN GREATEST(s, t) ELSE t END AS dst, rel, MAX(confidence) AS strength, CAST(COUNT(*) AS BIGINT) AS n
+ FROM (SELECT rel, confidence, CASE WHEN s <> '' AND regexp_replace(s, '^[0-9]+$', '') = '' THEN lpad(s, 6, '0') WHEN s <> '' AND regexp_replace(s, '^A[0-9]{6}$', '') = '' THEN SUBSTR(s, 2) ELSE s END AS s, t
+  FROM (SELECT regexp_replace(regexp_replace(upper(trim(source_stock_code)), '^(KRX:|NASDAQ:|NYSE:|KOSPI:|KOSDAQ:|[$])', ''), '[.](KQ|KS|O|N)$', '') AS s, target_stock_code AS t, relationship_type_code AS rel, confidence FROM company_relationship) raw) spelt
+ WHERE s <> '' AND t <> '' AND s <> t AND confidence IS NOT NULL GROUP BY 1, 2, 3
+ UNION ALL SELECT LEAST(src, dst), GREATEST(src, dst), 'CO_MENTIONED', CAST(LEAST(10, COUNT(*)) AS DOUBLE) / 10, CAST(COUNT(*) AS BIGINT) FROM load_relation_evidence WHERE src <> dst GROUP BY 1, 2) u""",
+    "fx_seed": """SELECT doc, company, MAX(salience) AS salience, CAST(COUNT(*) AS BIGINT) AS n FROM (
+ SELECT COALESCE(NULLIF(replace(lower(trim(uuid)), '-', ''), ''), NULLIF(trim(rcept_no), '')) AS doc, src AS company, CAST(CASE WHEN source_kind = 'NEWS' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS salience FROM load_relation_evidence
+ UNION ALL SELECT COALESCE(NULLIF(replace(lower(trim(uuid)), '-', ''), ''), NULLIF(trim(rcept_no), '')), dst, CAST(0.6 AS DOUBLE) FROM load_relation_evidence) x WHERE doc IS NOT NULL AND company IS NOT NULL GROUP BY doc, company""",
+    "fx_segment": """SELECT document_id, published_at, segment, company_id FROM (SELECT o_orderkey AS document_id, o_orderdate AS published_at, l_linenumber AS segment, l_suppkey % 30 AS company_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+ UNION ALL SELECT o_orderkey, o_orderdate, l_linenumber, l_partkey % 10 FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x""",
     "fx_impact": """SELECT event_id, user_id % 20 AS company_id, CAST(event_id % 4 AS INT) AS hop, value / 100 AS score, CASE WHEN event_id % 5 = 0 THEN 'HOLD' ELSE 'OK' END AS status, ts AS dateline FROM events""",
 }
 
@@ -43,7 +53,7 @@ VIEWS = {
 def fixture(spark: SparkSession, d: str, name: str) -> DataFrame:
     """One fixture as a DataFrame: the text of the view over the Parquet scans."""
     base = {t: table(spark, d, t) for t in _BASE if t in VIEWS[name]}
-    text = VIEWS[name]
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
     for t in base:
         for word in (f"FROM {t} ", f"JOIN {t} ", f"FROM {t})", f"FROM {t}\n"):
             text = text.replace(word, word.replace(t, "{" + t + "}"))

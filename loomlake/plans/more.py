@@ -55,17 +55,9 @@ def f01(spark, d):
     return by_row(_docs(spark, d), "document_id", "body", T.sentences, [("start", "int"), ("end", "int"), ("sentence", "string")])
 
 
-@query("F_02_sentences_seen", "SELECT document_id, sum(length(x)) AS visible FROM (SELECT document_id, unnest(string_split_regex(body, '\\s+')) AS x FROM fx_document WHERE body IS NOT NULL AND NOT regexp_matches(body, '[^\\x00-\\x{d7a3}]|[\\x{80}-\\x{a0}\\x{1680}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}]')) GROUP BY 1 HAVING sum(length(x)) > 0")
+@query("F_02_sentences_seen")
 def f02(spark, d):
-    """No visible character is lost: the sentences of a document hold all of them."""
-    t = _docs(spark, d).filter(~F.col("body").rlike(r"[^\x00-\x{d7a3}]|[\x{80}-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}]"))
-    s = by_row(t, "document_id", "body", lambda x: [(len("".join(r[2].split())),) for r in T.sentences(x)], [("n", "int")])
-    return s.groupBy(F.col("id").alias("document_id")).agg(F.sum("n").alias("visible")).filter("visible > 0")
-
-
-@query("F_02_sentences_seen_all")
-def f02_all(spark, d):
-    """Every document, whatever its characters; one without a visible character counts 0."""
+    """No visible character is lost: the sentences of a document hold all of them; one without a visible character counts 0."""
     s = by_row(_docs(spark, d), "document_id", "body", lambda x: [(sum(len("".join(r[2].split())) for r in T.sentences(x)),)], [("n", "int")])
     return s.select(F.col("id").alias("document_id"), F.col("n").cast("long").alias("visible"))
 
@@ -97,10 +89,13 @@ def f23(spark, d):
     return fixture(spark, d, "fx_event").select("event_id", F.round(-100 * F.expm1(-v / 5), 6).alias("saturated"), F.round(F.log1p(v) / F.log1p(F.lit(100.0)), 6).alias("share"))
 
 
-@query("F_24_npmi", "SELECT DISTINCT n, round(CASE WHEN n = 100 THEN 1 ELSE ln(n * 100.0 / (100.0 * 100.0)) / -ln(n / 100.0) END, 6) AS npmi FROM (SELECT 1 + event_id % 100 AS n FROM fx_event)")
+@query("F_24_npmi", "WITH x AS (SELECT DISTINCT 1 + event_id % 100 AS n, 1 + event_id % 100 + user_id % 7 AS a, 100 + user_id % 11 AS b FROM fx_event) SELECT n, a, b, round(CASE WHEN n = 120 THEN 1 ELSE ln(n * 120.0 / (CAST(a AS DOUBLE) * b)) / -ln(n / 120.0) END, 6) AS npmi FROM x")
 def f24(spark, d):
-    n = F.col("n")
-    return fixture(spark, d, "fx_event").select((1 + F.col("event_id") % 100).alias("n")).distinct().select("n", F.round(F.when(n == 100, 1.0).otherwise(F.log(n * 100.0 / 10_000.0) / -F.log(n / 100.0)), 6).alias("npmi"))
+    """Pairs in n of 120 documents, their ends in a and b of them."""
+    from loomlake.operators.graph import npmi
+
+    x = fixture(spark, d, "fx_event").select((1 + F.col("event_id") % 100).alias("n"), (1 + F.col("event_id") % 100 + F.col("user_id") % 7).alias("a"), (100 + F.col("user_id") % 11).alias("b")).distinct()
+    return x.select("n", "a", "b", npmi(F.col("n"), F.col("a"), F.col("b"), F.lit(120)).alias("npmi"))
 
 
 @query("F_35_probabilities", "SELECT event_id, a / s AS neg, b / s AS neu, c / s AS pos FROM (SELECT event_id, 1 + event_id % 3 AS a, 1 + event_id % 5 AS b, 1 + event_id % 7 AS c, 3 + event_id % 3 + event_id % 5 + event_id % 7 AS s FROM fx_event)")
@@ -114,16 +109,8 @@ def f35(spark, d):
     return x.filter(ok).select("event_id", *[F.col("p")[k].alias(k) for k in ("neg", "neu", "pos")])
 
 
-@query("J_07_empty_windows", "WITH w AS (SELECT unnest(['30D', '1Y', '10Y']) AS window_type), k AS (SELECT DISTINCT source_company_id FROM fx_evidence), n AS (SELECT source_company_id, '30D' AS window_type, COUNT(*) AS n FROM fx_evidence WHERE published_at >= TIMESTAMP '2001-01-01' - INTERVAL 30 DAY AND published_at < TIMESTAMP '2001-01-01' GROUP BY 1) SELECT k.source_company_id, w.window_type, COALESCE(n, 0) AS n FROM k CROSS JOIN w LEFT JOIN n USING (source_company_id, window_type)")
+@query("J_07_empty_windows", "WITH w AS (SELECT * FROM (VALUES ('30D', TIMESTAMP '2001-01-01' - INTERVAL 30 DAY), ('1Y', TIMESTAMP '2000-01-01'), ('10Y', TIMESTAMP '1991-01-01')) v(window_type, start_at)), k AS (SELECT DISTINCT source_company_id FROM fx_evidence), n AS (SELECT source_company_id, window_type, COUNT(*) AS n FROM fx_evidence JOIN w ON published_at >= start_at AND published_at < TIMESTAMP '2001-01-01' GROUP BY 1, 2) SELECT k.source_company_id, w.window_type, COALESCE(n, 0) AS n FROM k CROSS JOIN w LEFT JOIN n USING (source_company_id, window_type)")
 def j07(spark, d):
-    ev, w = fixture(spark, d, "fx_evidence"), scores.window_table(spark, "2001-01-01")
-    grid = ev.select("source_company_id").distinct().crossJoin(F.broadcast(w.select("window_type")))  # three windows
-    n = ev.join(F.broadcast(w.filter("window_type = '30D'")), scores.in_window("published_at")).groupBy("source_company_id", "window_type").agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(n, ["source_company_id", "window_type"], "left").select("source_company_id", "window_type", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("J_07_empty_windows_all", "WITH w AS (SELECT * FROM (VALUES ('30D', TIMESTAMP '2001-01-01' - INTERVAL 30 DAY), ('1Y', TIMESTAMP '2000-01-01'), ('10Y', TIMESTAMP '1991-01-01')) v(window_type, start_at)), k AS (SELECT DISTINCT source_company_id FROM fx_evidence), n AS (SELECT source_company_id, window_type, COUNT(*) AS n FROM fx_evidence JOIN w ON published_at >= start_at AND published_at < TIMESTAMP '2001-01-01' GROUP BY 1, 2) SELECT k.source_company_id, w.window_type, COALESCE(n, 0) AS n FROM k CROSS JOIN w LEFT JOIN n USING (source_company_id, window_type)")
-def j07_all(spark, d):
     ev, w = fixture(spark, d, "fx_evidence"), scores.window_table(spark, "2001-01-01")
     grid = ev.select("source_company_id").distinct().crossJoin(F.broadcast(w.select("window_type")))  # three windows
     n = ev.join(F.broadcast(w), scores.in_window("published_at")).groupBy("source_company_id", "window_type").agg(F.count(F.lit(1)).alias("n"))
@@ -247,8 +234,8 @@ def k02(spark, d):
 
 
 @query("K_04_shard", "SELECT TRUE AS same")
-def k04(spark, d, edge="fx_edge"):
-    root, e = shared_path(spark, "k04"), fixture(spark, d, edge)
+def k04(spark, d):
+    root, e = shared_path(spark, "k04"), fixture(spark, d, "fx_edge")
     e.write.parquet(root)
     return spark.createDataFrame([(publish.same_bag(e, spark.read.parquet(root)),)], "same boolean")
 
@@ -261,9 +248,9 @@ def k15(spark, d):
 
 
 @query("K_16_additive", "SELECT src, dst, rel FROM fx_edge UNION SELECT LEAST(source_company_id, target_company_id), GREATEST(source_company_id, target_company_id), relationship_type FROM fx_evidence WHERE confidence >= 0.99")
-def k16(spark, d, edge="fx_edge"):
+def k16(spark, d):
     """New relations are added where the snapshot has none."""
-    e = fixture(spark, d, edge).select("src", "dst", "rel")
+    e = fixture(spark, d, "fx_edge").select("src", "dst", "rel")
     new = fixture(spark, d, "fx_evidence").filter("confidence >= 0.99").select(F.least("source_company_id", "target_company_id").alias("src"), F.greatest("source_company_id", "target_company_id").alias("dst"), F.col("relationship_type").alias("rel")).distinct()
     return e.unionByName(new.join(e, ["src", "dst", "rel"], "left_anti"))
 
@@ -290,8 +277,8 @@ def k20(spark, d):
 
 
 @query("K_22_stale", "SELECT src, dst, rel FROM fx_edge WHERE strength >= 0.5")
-def k22(spark, d, edge="fx_edge"):
-    e = fixture(spark, d, edge)
+def k22(spark, d):
+    e = fixture(spark, d, "fx_edge")
     return e.join(e.filter("strength >= 0.5").select("src", "dst", "rel"), ["src", "dst", "rel"], "left_semi").select("src", "dst", "rel")
 
 

@@ -103,9 +103,9 @@ def k03(spark, d):
 
 
 @query("K_05_promote", "SELECT 'companies' AS dataset, COUNT(*) AS rows FROM fx_company UNION ALL SELECT 'edges', COUNT(*) FROM fx_edge")
-def k05(spark, d, edge="fx_edge"):
+def k05(spark, d):
     root = shared_path(spark, "k05")
-    publish.promote({"companies": fixture(spark, d, "fx_company"), "edges": fixture(spark, d, edge)}, root, "r1")
+    publish.promote({"companies": fixture(spark, d, "fx_company"), "edges": fixture(spark, d, "fx_edge")}, root, "r1")
     return spark.read.parquet(f"{root}/r1/companies").agg(F.lit("companies").alias("dataset"), F.count(F.lit(1)).alias("rows")).unionByName(spark.read.parquet(f"{root}/r1/edges").agg(F.lit("edges").alias("dataset"), F.count(F.lit(1)).alias("rows")))
 
 

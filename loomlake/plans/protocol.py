@@ -106,10 +106,10 @@ def k01(spark, d):
 
 
 @query("K_06_manifest", "SELECT 'edges' AS name, COUNT(*) AS rows FROM fx_edge")
-def k06(spark, d, edge="fx_edge"):
+def k06(spark, d):
     root = shared_path(spark, "k06")
     folder = publish.Folder(spark, root)
-    folder.put("manifest.json", json.dumps({"name": "edges", "rows": fixture(spark, d, edge).count()}))
+    folder.put("manifest.json", json.dumps({"name": "edges", "rows": fixture(spark, d, "fx_edge").count()}))
     return spark.read.schema("name string, rows long").json(f"{root}/manifest.json")
 
 

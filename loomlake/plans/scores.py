@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomlake.operators import graph as G
 from loomlake.operators import scores as S
 from loomlake.plans.fixtures import fixture, with_views
 
@@ -57,9 +58,9 @@ _A03 = f"""WITH {_W}, t AS (SELECT DISTINCT {_K} FROM fx_evidence WHERE publishe
 SELECT {_K}, window_type, COUNT(*) AS n, round(LEAST(1, 0.5 + 0.35 * (1 - exp(-COUNT(*) / 8))), 6) AS confidence FROM fx_evidence JOIN t USING ({_K}) JOIN w ON published_at >= start_at AND published_at < TIMESTAMP '{AS_OF}' GROUP BY ALL"""
 
 
-def a04(spark, d, edge="fx_edge"):
+def a04(spark, d):
     """Company metrics per window: events, positive and negative share, mean value, relations on either side."""
-    ev, rel = fixture(spark, d, "fx_event"), fixture(spark, d, edge)
+    ev, rel = fixture(spark, d, "fx_event"), fixture(spark, d, "fx_edge")
     w = S.window_table(spark, "2024-01-31", S.SHORT_WINDOWS)
     m = ev.join(F.broadcast(w), S.in_window("dateline")).groupBy("company_id", "window_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "ACTIVE").alias("active"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.round(F.avg("value"), 6).alias("mean_value")
@@ -75,7 +76,7 @@ r AS (SELECT company_id, COUNT(*) AS relations FROM (SELECT src AS company_id FR
 
 def a05(spark, d):
     c = fixture(spark, d, "fx_price").select("company_id", "trading_date", (F.col("close_price").cast("double") / 1_000_000).alias("pct"))
-    return c.select("company_id", "trading_date", F.when(F.col("pct") < 0.05, 0.0).otherwise(F.round(F.least(F.lit(100.0), -100 * F.expm1(-F.col("pct") / 0.28)), 6)).alias("invest_score"))
+    return c.select("company_id", "trading_date", S.invest_score(F.col("pct")).alias("invest_score"))
 
 
 _A05 = """SELECT company_id, trading_date, CASE WHEN pct < 0.05 THEN 0 ELSE round(LEAST(100, 100 * (1 - exp(-pct / 0.28))), 6) END AS invest_score FROM (SELECT company_id, trading_date, CAST(close_price AS DOUBLE) / 1000000 AS pct FROM fx_price)"""
@@ -83,27 +84,21 @@ _A05 = """SELECT company_id, trading_date, CASE WHEN pct < 0.05 THEN 0 ELSE roun
 
 def a06(spark, d):
     ev = fixture(spark, d, "fx_evidence").filter("confidence between 0.01 and 1")
-    return S.noisy_or(ev, ["source_company_id", "target_company_id", "relationship_type"], "confidence")
+    return S.noisy_or(S.canonical(ev), ["source_company_id", "target_company_id", "relationship_type"], "confidence")
 
 
-_A06 = f"""SELECT * FROM (SELECT {_K}, round(CASE WHEN MAX(confidence) >= 1 THEN 1 ELSE 1 - exp(SUM(ln(1 - CAST(confidence AS DOUBLE))) FILTER (confidence < 1)) END, 6) AS strength, COUNT(*) AS pieces FROM fx_evidence WHERE confidence BETWEEN 0.01 AND 1 GROUP BY ALL) WHERE strength >= 0.5"""
+_A06 = f"""SELECT * FROM (SELECT {_K}, round(CASE WHEN MAX(confidence) >= 1 THEN 1 ELSE 1 - exp(SUM(ln(1 - CAST(confidence AS DOUBLE))) FILTER (confidence < 1)) END, 6) AS strength, COUNT(*) AS pieces FROM
+ (SELECT CASE WHEN relationship_type IN ('PARTNER', 'COMPETE') THEN LEAST(source_company_id, target_company_id) ELSE source_company_id END AS source_company_id, CASE WHEN relationship_type IN ('PARTNER', 'COMPETE') THEN GREATEST(source_company_id, target_company_id) ELSE target_company_id END AS target_company_id, relationship_type, confidence FROM fx_evidence WHERE source_company_id <> target_company_id) c WHERE confidence BETWEEN 0.01 AND 1 GROUP BY ALL) WHERE strength >= 0.5"""
 
 
 def a07(spark, d):
-    """Co-mention NPMI of company pairs; pairs are counted per document by a self-join on distinct mentions."""
-    m = fixture(spark, d, "fx_mention")
-    docs = m.select("document_id").distinct().count()
-    single = m.groupBy("company_id").agg(F.count(F.lit(1)).alias("k"))
-    b = m.withColumnRenamed("company_id", "b")
-    pair = m.withColumnRenamed("company_id", "a").join(b, "document_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter("n_ab >= 2")
-    x = pair.join(single.select(F.col("company_id").alias("a"), F.col("k").alias("n_a")), "a").join(single.select(F.col("company_id").alias("b"), F.col("k").alias("n_b")), "b")
-    p = F.col("n_ab") / docs
-    return x.select("a", "b", "n_ab", F.round(F.when(F.col("n_ab") == docs, 1.0).otherwise(F.log(F.col("n_ab").cast("double") * docs / (F.col("n_a") * F.col("n_b"))) / -F.log(p)), 6).alias("npmi"))
+    """Co-mention NPMI of company pairs that share a segment in three documents or more."""
+    return G.comention_stats(fixture(spark, d, "fx_segment"), "document_id", "segment", "company_id").select("a", "b", "n_ab", "npmi")
 
 
-_A07 = """WITH n AS (SELECT COUNT(DISTINCT document_id) AS docs FROM fx_mention), s AS (SELECT company_id, COUNT(*) AS k FROM fx_mention GROUP BY 1),
-p AS (SELECT x.company_id AS a, y.company_id AS b, COUNT(*) AS n_ab FROM fx_mention x JOIN fx_mention y ON x.document_id = y.document_id AND x.company_id < y.company_id GROUP BY ALL HAVING COUNT(*) >= 2)
-SELECT a, b, n_ab, round(CASE WHEN n_ab = docs THEN 1 ELSE ln(CAST(n_ab AS DOUBLE) * docs / (s1.k * s2.k)) / -ln(n_ab / docs) END, 6) AS npmi FROM p JOIN s s1 ON s1.company_id = a JOIN s s2 ON s2.company_id = b, n"""
+_A07 = """WITH m AS (SELECT DISTINCT document_id, segment, company_id FROM fx_segment), n AS (SELECT COUNT(DISTINCT document_id) AS docs FROM m), s AS (SELECT company_id, COUNT(DISTINCT document_id) AS k FROM m GROUP BY 1),
+p AS (SELECT a, b, COUNT(*) AS n_ab FROM (SELECT DISTINCT x.document_id, x.company_id AS a, y.company_id AS b FROM m x JOIN m y ON x.document_id = y.document_id AND x.segment = y.segment AND x.company_id < y.company_id) GROUP BY ALL HAVING COUNT(*) >= 3)
+SELECT a, b, n_ab, round(CASE WHEN n_ab = docs THEN 1 ELSE ln(CAST(n_ab AS DOUBLE) * docs / (CAST(s1.k AS DOUBLE) * s2.k)) / -ln(n_ab / CAST(docs AS DOUBLE)) END, 6) AS npmi FROM p JOIN s s1 ON s1.company_id = a JOIN s s2 ON s2.company_id = b, n"""
 
 
 def a08(spark, d):
@@ -176,8 +171,8 @@ def a16(spark, d):
 _A16 = "SELECT company_id, MAX(close_price) AS high, MIN(low_price) AS low FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY company_id ORDER BY trading_date DESC) AS rn FROM fx_price) WHERE rn <= 250 GROUP BY 1"
 
 
-def a17(spark, d, edge="fx_edge"):
-    e = fixture(spark, d, edge)
+def a17(spark, d):
+    e = fixture(spark, d, "fx_edge")
     both = e.select(F.col("src").alias("company_id"), F.col("dst").alias("other")).union(e.select("dst", "src"))
     return both.groupBy("company_id").agg(F.count_distinct("other").alias("counterparts"))
 
@@ -270,7 +265,8 @@ _A31 = "SELECT company_id, event_id AS latest, dateline AS at FROM (SELECT *, RO
 
 
 def a32(spark, d):
-    return S.evidence_confidence(fixture(spark, d, "fx_evidence"))
+    """Publishers are the documents' residues here, as the fixture has none."""
+    return S.evidence_confidence(fixture(spark, d, "fx_evidence").withColumn("publisher", F.col("document_id") % 7))
 
 
 _A32 = f"""WITH {_CANON} SELECT {_K}, COUNT(DISTINCT document_id) AS n, round(LEAST(1, 0.5 + 0.35 * (1 - exp(-COUNT(DISTINCT document_id) / 8)) + CASE WHEN COUNT(*) FILTER (document_type = 'DISCLOSURE') > 0 THEN 0.05 ELSE 0 END

@@ -140,9 +140,9 @@ def p20(spark, d):
 
 
 @query("P_21_visible_edges", "SELECT company_id FROM fx_company WHERE company_id NOT IN (SELECT src FROM fx_edge WHERE strength >= 1 UNION ALL SELECT dst FROM fx_edge WHERE strength >= 1)")
-def p21(spark, d, edge="fx_edge"):
+def p21(spark, d):
     """Companies without a shown edge."""
-    e = fixture(spark, d, edge).filter("strength >= 1")
+    e = fixture(spark, d, "fx_edge").filter("strength >= 1")
     shown = e.select(F.col("src").alias("company_id")).union(e.select("dst"))
     return fixture(spark, d, "fx_company").join(shown, "company_id", "left_anti").select("company_id")
 
@@ -194,33 +194,33 @@ def j11(spark, d):
 
 
 @query("J_14_unordered", "SELECT COUNT(*) AS matches FROM (SELECT DISTINCT LEAST(source_company_id, target_company_id) AS lo, GREATEST(source_company_id, target_company_id) AS hi FROM fx_evidence) JOIN (SELECT DISTINCT LEAST(src, dst) AS lo, GREATEST(src, dst) AS hi FROM fx_edge) USING (lo, hi)")
-def j14(spark, d, edge="fx_edge"):
+def j14(spark, d):
     def pairs(df, a, b):
         return df.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
 
-    return pairs(fixture(spark, d, "fx_evidence"), "source_company_id", "target_company_id").join(pairs(fixture(spark, d, edge), "src", "dst"), ["lo", "hi"]).agg(F.count(F.lit(1)).alias("matches"))
+    return pairs(fixture(spark, d, "fx_evidence"), "source_company_id", "target_company_id").join(pairs(fixture(spark, d, "fx_edge"), "src", "dst"), ["lo", "hi"]).agg(F.count(F.lit(1)).alias("matches"))
 
 
 @query("J_15_symmetric", "SELECT src AS me, dst AS other, rel, n FROM fx_edge WHERE src = 3 UNION ALL SELECT dst, src, rel, n FROM fx_edge WHERE dst = 3 AND rel <> 'SUPPLY'")
-def j15(spark, d, edge="fx_edge"):
-    return S.both_ways(fixture(spark, d, edge), "src", "dst", F.col("rel") == "SUPPLY").filter("me = 3").select("me", "other", "rel", "n")
+def j15(spark, d):
+    return S.both_ways(fixture(spark, d, "fx_edge"), "src", "dst", F.col("rel") == "SUPPLY").filter("me = 3").select("me", "other", "rel", "n")
 
 
 @query("J_16_edges_active", "SELECT e.src, e.dst, e.rel, a.name AS src_name, b.name AS dst_name FROM fx_edge e JOIN fx_company a ON a.company_id = e.src AND a.status = 'ACTIVE' JOIN fx_company b ON b.company_id = e.dst AND b.status = 'ACTIVE'")
-def j16(spark, d, edge="fx_edge"):
+def j16(spark, d):
     c = fixture(spark, d, "fx_company").filter("status = 'ACTIVE'").select("company_id", "name")
-    e = fixture(spark, d, edge)
+    e = fixture(spark, d, "fx_edge")
     return e.join(c.toDF("src", "src_name"), "src").join(c.toDF("dst", "dst_name"), "dst").select("src", "dst", "rel", "src_name", "dst_name")
 
 
 @query("J_17_relations_per_company", "SELECT company_id, COUNT(*) AS relations FROM (SELECT src AS company_id FROM fx_edge UNION ALL SELECT dst FROM fx_edge) GROUP BY 1")
-def j17(spark, d, edge="fx_edge"):
-    return S.both_ways(fixture(spark, d, edge), "src", "dst").groupBy(F.col("me").alias("company_id")).agg(F.count(F.lit(1)).alias("relations"))
+def j17(spark, d):
+    return S.both_ways(fixture(spark, d, "fx_edge"), "src", "dst").groupBy(F.col("me").alias("company_id")).agg(F.count(F.lit(1)).alias("relations"))
 
 
 @query("J_18_resolve_guard", "SELECT COUNT(*) AS asked, COUNT(c.company_id) AS resolved FROM (SELECT DISTINCT src AS company_id FROM fx_edge) e LEFT JOIN fx_company c USING (company_id)")
-def j18(spark, d, edge="fx_edge"):
-    asked = fixture(spark, d, edge).select(F.col("src").alias("company_id")).distinct()
+def j18(spark, d):
+    asked = fixture(spark, d, "fx_edge").select(F.col("src").alias("company_id")).distinct()
     c = fixture(spark, d, "fx_company").select("company_id", F.lit(1).alias("hit"))
     return asked.join(c, "company_id", "left").agg(F.count(F.lit(1)).alias("asked"), F.count("hit").alias("resolved"))
 
@@ -299,15 +299,15 @@ SELECT me, other, MAX(rel) FILTER (rn = 1) AS best, COALESCE(string_agg(rel, ','
 
 
 @query("O_08_best_and_rest", _O08)
-def o08(spark, d, edge="fx_edge"):
-    b = S.both_ways(fixture(spark, d, edge), "src", "dst")
+def o08(spark, d):
+    b = S.both_ways(fixture(spark, d, "fx_edge"), "src", "dst")
     r = b.withColumn("rn", F.row_number().over(Window.partitionBy("me", "other").orderBy(F.desc("strength"), "rel")))
     return r.groupBy("me", "other").agg(F.max(F.when(F.col("rn") == 1, F.col("rel"))).alias("best"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") > 1, F.col("rel")))), ",").alias("others"))
 
 
 @query("U_01_union_directions", "SELECT src AS me, dst AS other FROM fx_edge UNION ALL SELECT dst, src FROM fx_edge")
-def u01(spark, d, edge="fx_edge"):
-    return S.both_ways(fixture(spark, d, edge), "src", "dst").select("me", "other")
+def u01(spark, d):
+    return S.both_ways(fixture(spark, d, "fx_edge"), "src", "dst").select("me", "other")
 
 
 @query("U_02_union_by_name", "SELECT company_id, name, CAST(NULL AS VARCHAR) AS alias FROM fx_company UNION ALL SELECT company_id, NULL, alias FROM fx_alias")
@@ -330,14 +330,14 @@ def u04(spark, d):
 
 
 @query("U_05_identity_difference", "SELECT COUNT(*) AS unmatched FROM (SELECT src, dst FROM fx_edge WHERE rel = 'SUPPLY' EXCEPT SELECT src, dst FROM fx_edge WHERE rel = 'PARTNER')")
-def u05(spark, d, edge="fx_edge"):
-    e = fixture(spark, d, edge)
+def u05(spark, d):
+    e = fixture(spark, d, "fx_edge")
     return e.filter("rel = 'SUPPLY'").select("src", "dst").subtract(e.filter("rel = 'PARTNER'").select("src", "dst")).agg(F.count(F.lit(1)).alias("unmatched"))
 
 
 @query("U_06_intersection", "SELECT src, dst FROM fx_edge WHERE rel = 'SUPPLY' INTERSECT SELECT src, dst FROM fx_edge WHERE rel = 'PARTNER'")
-def u06(spark, d, edge="fx_edge"):
-    e = fixture(spark, d, edge)
+def u06(spark, d):
+    e = fixture(spark, d, "fx_edge")
     return e.filter("rel = 'SUPPLY'").select("src", "dst").intersect(e.filter("rel = 'PARTNER'").select("src", "dst"))
 
 
@@ -391,8 +391,8 @@ def w07(spark, d):
 
 
 @query("W_08_top_pairs", "SELECT DISTINCT src, dst, rel FROM (SELECT src, dst, rel, ROW_NUMBER() OVER (PARTITION BY me ORDER BY strength DESC, n DESC, src, dst, rel) AS rn FROM (SELECT *, src AS me FROM fx_edge UNION ALL SELECT *, dst FROM fx_edge)) WHERE rn <= 5")
-def w08(spark, d, edge="fx_edge"):
-    return S.top_per(S.both_ways(fixture(spark, d, edge), "src", "dst"), ["me"], [F.desc("strength"), F.desc("n"), "src", "dst", "rel"], 5).select("src", "dst", "rel").distinct()
+def w08(spark, d):
+    return S.top_per(S.both_ways(fixture(spark, d, "fx_edge"), "src", "dst"), ["me"], [F.desc("strength"), F.desc("n"), "src", "dst", "rel"], 5).select("src", "dst", "rel").distinct()
 
 
 @query("W_09_newest_docs", "SELECT source_company_id, document_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_company_id ORDER BY published_at DESC, document_id DESC) AS rn FROM (SELECT DISTINCT source_company_id, document_id, published_at FROM fx_evidence)) WHERE rn <= 20")
@@ -423,8 +423,8 @@ def w15(spark, d):
 
 
 @query("W_16_degree_percentile", "SELECT me, round((ROW_NUMBER() OVER (ORDER BY k, me) - 1) / NULLIF(COUNT(*) OVER () - 1, 0), 8) AS pct FROM (SELECT me, COUNT(*) AS k FROM (SELECT src AS me FROM fx_edge UNION ALL SELECT dst FROM fx_edge) GROUP BY 1)")
-def w16(spark, d, edge="fx_edge"):
-    k = S.both_ways(fixture(spark, d, edge), "src", "dst").groupBy("me").agg(F.count(F.lit(1)).alias("k"))
+def w16(spark, d):
+    k = S.both_ways(fixture(spark, d, "fx_edge"), "src", "dst").groupBy("me").agg(F.count(F.lit(1)).alias("k"))
     return k.select("me", F.round(F.try_divide(F.row_number().over(Window.orderBy("k", "me")) - 1, F.count(F.lit(1)).over(Window.partitionBy()) - 1), 8).alias("pct"))
 
 
@@ -521,8 +521,8 @@ def c08(spark, d):
 
 
 @query("C_09_strongest_edge", "SELECT src, dst, rel FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src, dst ORDER BY rel = 'CO_MENTIONED', strength DESC, rel) AS rn FROM fx_edge) WHERE rn = 1")
-def c09(spark, d, edge="fx_edge"):
-    return S.top_per(fixture(spark, d, edge), ["src", "dst"], [F.col("rel") == "CO_MENTIONED", F.desc("strength"), F.col("rel")]).select("src", "dst", "rel")
+def c09(spark, d):
+    return S.top_per(fixture(spark, d, "fx_edge"), ["src", "dst"], [F.col("rel") == "CO_MENTIONED", F.desc("strength"), F.col("rel")]).select("src", "dst", "rel")
 
 
 @query("C_10_investor_type", "SELECT company_id, CASE WHEN s < 40 THEN 'CAUTIOUS' WHEN s < 60 THEN 'BALANCED' ELSE 'BOLD' END AS kind FROM (SELECT company_id, AVG(value) AS s FROM fx_event GROUP BY 1)")

@@ -29,27 +29,15 @@ def f04(spark, d):
     return _docs(spark, d).select("document_id", T.cut_sentences(F.col("body"), 200).alias("sentences"))
 
 
-@query("F_05_fragments", r"SELECT document_id, len(list_filter(string_split_regex(title, '\.{2,}'), lambda x: regexp_matches(x, '[^\s\pZ]'))) AS n FROM fx_document WHERE title IS NOT NULL AND NOT contains(title, '다.') AND NOT contains(title, '<b')")
+@query("F_05_fragments")
 def f05(spark, d):
-    t = fixture(spark, d, "fx_document").filter("title is not null and not contains(title, '다.') and not contains(title, '<b')")
-    return t.select("document_id", F.size(T.fragments(F.col("title"))).cast("long").alias("n"))
-
-
-@query("F_05_fragments_all")
-def f05_all(spark, d):
     """All fragments of all whole texts."""
     f = _docs(spark, d).select("document_id", T.fragments(F.col("body")).alias("fragments"))
     return f.select("document_id", F.size("fragments").cast("long").alias("n"), "fragments")
 
 
-@query("F_06_boilerplate", "SELECT document_id, CASE WHEN strpos(body, '#') > 0 THEN strpos(body, '#') - 1 ELSE length(body) END AS at_most FROM fx_document WHERE body IS NOT NULL AND NOT regexp_matches(body, '무단전재|저작권자|All rights reserved|ⓒ')")
+@query("F_06_boilerplate")
 def f06(spark, d):
-    x = _docs(spark, d).filter(~F.col("body").rlike("무단전재|저작권자|All rights reserved|ⓒ"))
-    return x.select("document_id", F.when(F.instr("body", "#") > 0, F.instr("body", "#") - 1).otherwise(F.length("body")).cast("long").alias("at_most"))
-
-
-@query("F_06_boilerplate_all")
-def f06_all(spark, d):
     """All texts, cut before their boilerplate."""
     x = _docs(spark, d).select("document_id", F.length("body").alias("n"), T.trim_boilerplate(F.col("body")).alias("kept"))
     return x.select("document_id", F.length("kept").cast("long").alias("cut"), (F.length("kept") < F.col("n")).alias("trimmed"), "kept")
@@ -134,10 +122,12 @@ def f26(spark, d):
     return y.join(p, ["c", "y"]).select("c", "y", F.round(F.col("pf") + F.col("half") - F.col("ph"), 2).alias("trailing"))
 
 
-@query("F_27_relevance", "SELECT document_id, COUNT(*) AS n, round(LEAST(1, 0.25 + 0.55 * 0.5 + 0.2 / COUNT(*)), 6) AS relevance, round(LEAST(1, 0.4 + 0.15 * COUNT(*)), 6) AS confidence FROM fx_mention GROUP BY 1")
+@query("F_27_relevance", "WITH m AS (SELECT document_id, company_id, COUNT(DISTINCT segment) AS n FROM fx_segment GROUP BY ALL), c AS (SELECT document_id, COUNT(*) AS k FROM m GROUP BY 1) SELECT document_id, company_id, round(LEAST(1, 0.25 + 0.55 * (LEAST(4, n) - 1) / 3.0 + 0.2 / k), 6) AS relevance, round(LEAST(1, 0.4 + 0.15 * n), 6) AS confidence FROM m JOIN c USING (document_id)")
 def f27(spark, d):
-    n = F.count(F.lit(1))
-    return fixture(spark, d, "fx_mention").groupBy("document_id").agg(n.alias("n"), F.round(F.least(F.lit(1.0), 0.25 + 0.55 * 0.5 + 0.2 / n), 6).alias("relevance"), F.round(F.least(F.lit(1.0), 0.4 + 0.15 * n), 6).alias("confidence"))
+    """Sentences of a company in a document, companies of the document."""
+    m = fixture(spark, d, "fx_segment").groupBy("document_id", "company_id").agg(F.count_distinct("segment").alias("n"))
+    c = m.groupBy("document_id").agg(F.count(F.lit(1)).alias("k"))
+    return m.join(c, "document_id").select("document_id", "company_id", T.relevance(F.col("n"), F.col("k")).alias("relevance"), T.sentence_confidence(F.col("n")).alias("confidence"))
 
 
 @query("F_28_path_sign", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS sign FROM fx_event")
@@ -158,11 +148,11 @@ def f30(spark, d):
     return table(spark, d, "part").select("p_partkey", F.regexp_extract(t, "^(.*):([^:]*)$", 1).alias("name"), F.regexp_extract(t, "^(.*):([^:]*)$", 2).alias("kind"))
 
 
-@query("F_31_blend", "SELECT event_id, floor(CASE WHEN event_id % 3 = 0 THEN 0.6 * value + 0.4 * (value / 2) WHEN event_id % 3 = 1 THEN LEAST(100, 1.2 * value) ELSE LEAST(100, 0.8 * (value / 2)) END * 10 + 0.5) / 10 AS score FROM fx_event")
+@query("F_31_blend", "WITH e AS (SELECT event_id, value / 3 AS s, CASE WHEN event_id % 4 IN (0, 1) THEN value END AS n, CASE WHEN event_id % 4 IN (0, 2) THEN value / 2 END AS f FROM fx_event) SELECT event_id, CASE WHEN n IS NULL AND f IS NULL THEN NULL WHEN n IS NULL THEN floor(0.8 * f * 10 + 0.5) / 10 WHEN f IS NULL THEN floor(n * 10 + 0.5) / 10 ELSE floor((0.6 * n + 0.4 * f) * 10 + 0.5) / 10 END AS shown, CASE WHEN n IS NULL AND f IS NULL THEN NULL WHEN n IS NULL THEN floor(f * 10 + 0.5) / 10 WHEN f IS NULL THEN floor(n * 10 + 0.5) / 10 ELSE s END AS usual FROM e")
 def f31(spark, d):
     e, v = F.col("event_id"), F.col("value")
-    news, filed = F.when(e % 3 != 2, v), F.when(e % 3 != 1, v / 2)
-    return fixture(spark, d, "fx_event").select("event_id", T.blend(news, filed, 0.6).alias("score"))
+    news, filed = F.when(e % 4 < 2, v), F.when(e % 2 == 0, v / 2)
+    return fixture(spark, d, "fx_event").select("event_id", T.blend(v / 3, news, filed, 0.6).alias("shown"), T.blend(v / 3, news, filed, 0.5).alias("usual"))
 
 
 @query("F_32_position", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'SELF' WHEN 1 THEN 'SUPPLIER' ELSE 'CUSTOMER' END AS position FROM fx_event")
@@ -173,12 +163,14 @@ def f32(spark, d):
     return fixture(spark, d, "fx_event").select("event_id", F.when(last.isNull(), "SELF").when(last == "SUPPLY_IN", "SUPPLIER").otherwise("CUSTOMER").alias("position"))
 
 
-_NT = [f"CASE WHEN regexp_matches(title, '{p}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(body, '{p}') THEN 1 ELSE 0 END AS p{k}" for k, (_, p) in enumerate(T.NEWS_TYPES)]
+_NT = ", ".join(" + ".join(f"3 * COALESCE(CAST(regexp_matches(title, '{p}') AS INT), 0) + COALESCE(CAST(regexp_matches(body, '{p}') AS INT), 0)" for p in ps) + f" AS p{k}" for k, (_, ps) in enumerate(T.NEWS_TYPES))
+_NP = [f"p{k}" for k in range(len(T.NEWS_TYPES))]
+_NK = " ".join(f"WHEN p{k} = top THEN '{n}'" for k, (n, _) in enumerate(T.NEWS_TYPES))
 
 
-@query("F_33_news_type", f"SELECT document_id, CASE WHEN GREATEST(p0, p1, p2, p3) < 2 THEN NULL WHEN p0 = GREATEST(p0, p1, p2, p3) THEN 'EARNINGS' WHEN p1 = GREATEST(p1, p2, p3) THEN 'CONTRACT' WHEN p2 = GREATEST(p2, p3) THEN 'CAPITAL' ELSE 'LEGAL' END AS kind FROM (SELECT document_id, {', '.join(_NT)} FROM fx_document WHERE body IS NOT NULL)")
+@query("F_33_news_type", f"SELECT document_id, CASE WHEN top < 2 THEN 'OTHER' {_NK} END AS kind, CASE WHEN top < 2 THEN 0 ELSE round(top / CAST({' + '.join(_NP)} AS DOUBLE), 6) END AS confidence FROM (SELECT *, GREATEST({', '.join(_NP)}) AS top FROM (SELECT document_id, {_NT} FROM fx_document WHERE body IS NOT NULL))")
 def f33(spark, d):
-    return _docs(spark, d).select("document_id", T.news_type(F.col("title"), F.col("body")).alias("kind"))
+    return _docs(spark, d).select("document_id", T.news_type(F.col("title"), F.col("body")).alias("t")).select("document_id", "t.kind", "t.confidence")
 
 
 @query("F_34_argmax", "SELECT event_id, CASE WHEN a = b AND a >= c THEN NULL WHEN a = c AND a >= b THEN NULL WHEN b = c AND b >= a THEN NULL WHEN a = GREATEST(a, b, c) THEN 'NEGATIVE' WHEN b = GREATEST(b, c) THEN 'NEUTRAL' ELSE 'POSITIVE' END AS label FROM (SELECT event_id, CAST(event_id % 3 AS DOUBLE) AS a, CAST(event_id % 5 AS DOUBLE) AS b, CAST(event_id % 7 AS DOUBLE) AS c FROM fx_event)")
@@ -187,11 +179,17 @@ def f34(spark, d):
     return fixture(spark, d, "fx_event").select("event_id", T.argmax_label(p, ("NEGATIVE", "NEUTRAL", "POSITIVE")).alias("label"))
 
 
-@query("F_36_after_close", "SELECT event_id, NOT EXISTS (SELECT 1 FROM fx_index i WHERE i.trading_date = CAST(dateline AS DATE)) OR dayofweek(dateline) IN (0, 6) OR hour(dateline) * 60 + minute(dateline) > 930 AS after_close FROM fx_event")
+_F36 = """WITH e AS (SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN dateline - INTERVAL 8766 DAY ELSE dateline END) + INTERVAL 9 HOUR AS t FROM fx_event), l AS (SELECT MAX(trading_date) AS last FROM fx_index WHERE idx % 3 <> 0)
+SELECT event_id, hour(t) * 60 + minute(t) >= 930 OR CASE WHEN CAST(t AS DATE) <= last THEN NOT EXISTS (SELECT 1 FROM fx_index i WHERE i.trading_date = CAST(t AS DATE) AND i.idx % 3 <> 0) ELSE dayofweek(t) IN (0, 6) END AS after_close FROM e, l"""
+
+
+@query("F_36_after_close", _F36)
 def f36(spark, d):
-    cal = fixture(spark, d, "fx_index").select(F.col("trading_date").alias("day"), F.lit(True).alias("open"))
-    e = fixture(spark, d, "fx_event").withColumn("day", F.to_date("dateline")).join(cal, "day", "left")
-    return e.select("event_id", (F.col("open").isNull() | F.dayofweek("dateline").isin(1, 7) | (F.hour("dateline") * 60 + F.minute("dateline") > 930)).alias("after_close"))
+    """Half of the events lie within the calendar, of which every third day is taken out."""
+    from loomlake.operators.timeseries import after_close
+
+    at = F.when(F.col("event_id") % 2 == 0, F.col("dateline") - F.expr("interval 8766 day")).otherwise(F.col("dateline"))
+    return after_close(fixture(spark, d, "fx_event").withColumn("at", at), "at", fixture(spark, d, "fx_index").filter("idx % 3 <> 0")).select("event_id", "after_close")
 
 
 def _matched(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlake.operators import timeseries as T
+from loomlake.operators.serving import ranked_by
 from loomlake.plans.fixtures import fixture, with_views
 
 _F: dict = {}
@@ -47,7 +48,7 @@ def j12(spark, d):
     return T.lookback_close(fixture(spark, d, "fx_price"), "company_id", (7, 30, 90))
 
 
-_J13 = """WITH e AS (SELECT document_id, CAST(published_at + INTERVAL 9 HOUR AS DATE) + CASE WHEN hour(published_at + INTERVAL 9 HOUR) * 60 + minute(published_at + INTERVAL 9 HOUR) > 930 THEN 1 ELSE 0 END AS day FROM (SELECT DISTINCT document_id, published_at + to_minutes(CAST(document_id % 1440 AS BIGINT)) AS published_at FROM fx_evidence))
+_J13 = """WITH e AS (SELECT document_id, CAST(published_at + INTERVAL 9 HOUR AS DATE) + CASE WHEN hour(published_at + INTERVAL 9 HOUR) * 60 + minute(published_at + INTERVAL 9 HOUR) >= 930 THEN 1 ELSE 0 END AS day FROM (SELECT DISTINCT document_id, published_at + to_minutes(CAST(document_id % 1440 AS BIGINT)) AS published_at FROM fx_evidence))
 SELECT document_id, (SELECT MIN(idx) FROM fx_index i WHERE i.trading_date >= e.day) AS idx FROM e"""
 
 
@@ -87,7 +88,7 @@ def x25(spark, d):
 
 _X26 = f"""WITH {_CAL}, dl AS (SELECT company_id, idx, CASE WHEN idx - lag(idx) OVER w = 1 THEN close / lag(close) OVER w - base / lag(base) OVER w END AS ar FROM sr WINDOW w AS (PARTITION BY company_id ORDER BY idx)),
 sg AS (SELECT *, CASE WHEN COUNT(ar) OVER v >= 20 THEN stddev_samp(ar) OVER v END AS s FROM dl WINDOW v AS (PARTITION BY company_id ORDER BY idx RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING))
-SELECT company_id, idx, CASE WHEN ar IS NULL OR s IS NULL OR s <= 0 THEN NULL WHEN round(ar / s, 6) <= -0.5 THEN 'NEGATIVE' WHEN round(ar / s, 6) >= 0.5 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS label FROM sg"""
+SELECT company_id, idx, CASE WHEN ar IS NULL OR s IS NULL OR s <= 0 THEN NULL WHEN round(ar / s, 6) < -0.5 THEN 'NEGATIVE' WHEN round(ar / s, 6) > 0.5 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS label FROM sg"""
 
 
 @query("X_26_z_label", _X26)
@@ -117,32 +118,34 @@ SELECT event_type, position, company_id, win, COUNT(*) AS n, round(AVG(v), 6) AS
 @query("A_13_reaction_stats", _STATS)
 def a13(spark, d):
     """Statistics per type, position and window, for each company and for all (company null)."""
-    r = _reactions(spark, d).filter(F.col("trading_date") <= F.lit("2000-12-31").cast("date"))
-    u = r.select("event_type", "position", "company_id", F.inline(F.array(*[F.struct(F.lit(n).alias("win"), F.col(f"ar_{n}").alias("v")) for n in (1, 3, 5)]))).filter("v is not null")
-    g = u.groupingSets([["event_type", "position", "win"], ["event_type", "position", "win", "company_id"]], "event_type", "position", "win", "company_id")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("med"), F.count_if(F.col("v") < 0).alias("down"), F.count_if(F.col("v") > 0).alias("up"))
+    return T.reaction_stats(_reactions(spark, d).filter(F.col("trading_date") <= F.lit("2000-12-31").cast("date")), (1, 3, 5))
 
 
-_SIG = f"""WITH {_CAL}, {_CASES}, {_AR}, t AS (SELECT * FROM ar WHERE trading_date <= DATE '2000-12-31' AND ar_5 IS NOT NULL),
-co AS (SELECT company_id, event_type, COUNT(*) AS n, round(median(ar_5), 6) AS m FROM t GROUP BY ALL), po AS (SELECT position, event_type, COUNT(*) AS n, round(median(ar_5), 6) AS m FROM t GROUP BY ALL),
-k AS (SELECT DISTINCT company_id, event_type, position FROM cs)
-SELECT k.company_id, k.event_type, k.position, CASE WHEN co.n >= 20 THEN 'COMPANY' WHEN po.n >= 20 THEN 'POSITION' END AS basis,
- CASE WHEN COALESCE(CASE WHEN co.n >= 20 THEN co.m END, CASE WHEN po.n >= 20 THEN po.m END) IS NULL THEN 'HOLD' WHEN COALESCE(CASE WHEN co.n >= 20 THEN co.m END, po.m) > 0 THEN 'UP' ELSE 'DOWN' END AS label
- FROM k LEFT JOIN co USING (company_id, event_type) LEFT JOIN po ON po.position = k.position AND po.event_type = k.event_type"""
+_AR2 = "a2 AS (SELECT c.*, " + ", ".join(f"round(e{n}.close / NULLIF(b.close, 0) - e{n}.base / NULLIF(b.base, 0), 8) AS ar_{n}" for n in (3, 20)) + " FROM cs c LEFT JOIN sr b ON b.company_id = c.company_id AND b.idx = c.idx - 1 " + " ".join(f"LEFT JOIN sr e{n} ON e{n}.company_id = c.company_id AND e{n}.idx = c.idx + {n - 1}" for n in (3, 20)) + ")"
 
 
-def signals(spark, d, least: int = 20):
-    """X-28: a company's own median reaction from ``least`` cases on, else its position's, else hold."""
-    t = _reactions(spark, d).filter((F.col("trading_date") <= F.lit("2000-12-31").cast("date")) & F.col("ar_5").isNotNull())
-    own = t.groupBy("company_id", "event_type").agg(F.count(F.lit(1)).alias("cn"), F.round(F.median("ar_5"), 6).alias("cm")).filter(F.col("cn") >= least)
-    pos = t.groupBy("position", "event_type").agg(F.count(F.lit(1)).alias("pn"), F.round(F.median("ar_5"), 6).alias("pm")).filter(F.col("pn") >= least)
-    k = _cases(spark, d).select("company_id", "event_type", "position").distinct()
-    j = k.join(own, ["company_id", "event_type"], "left").join(pos, ["position", "event_type"], "left")
-    m = F.coalesce("cm", "pm")
-    return j.select("company_id", "event_type", "position", F.when(F.col("cn").isNotNull(), "COMPANY").when(F.col("pn").isNotNull(), "POSITION").alias("basis"), F.when(m.isNull(), "HOLD").when(m > 0, "UP").otherwise("DOWN").alias("label"))
+def _signal_sql(share: float, means: tuple[float, float]) -> str:
+    """Signals of both horizons for every (company, type, position); urgent cases stand for those without a type, a seventh of the companies for weak links."""
+    return f"""WITH {_CAL}, {_CASES}, {_AR2}, u AS (SELECT event_type, position, company_id, unnest([3, 20]) AS win, unnest([ar_3, ar_20]) AS v FROM a2 WHERE trading_date <= DATE '2000-12-31'),
+st AS (SELECT event_type, position, company_id, win, COUNT(*) AS n, round(AVG(v), 6) AS m, COUNT(*) FILTER (v < 0) AS dn, COUNT(*) FILTER (v > 0) AS up FROM u WHERE v IS NOT NULL GROUP BY GROUPING SETS ((event_type, position, win), (event_type, position, win, company_id))),
+k AS (SELECT DISTINCT company_id, event_type, position, CASE WHEN company_id % 7 = 0 THEN 'HOLD' ELSE 'OK' END AS status, h.horizon, h.win, h.lm FROM cs, (VALUES ('SHORT', 3, {means[0]}), ('LONG', 20, {means[1]})) h(horizon, win, lm)),
+j AS (SELECT k.*, o.n IS NOT NULL AS own, COALESCE(o.n, p.n, 0) AS n, CASE WHEN o.n IS NOT NULL THEN o.m ELSE p.m END AS m, CASE WHEN o.n IS NOT NULL THEN o.dn ELSE p.dn END AS dn, CASE WHEN o.n IS NOT NULL THEN o.up ELSE p.up END AS up
+ FROM k LEFT JOIN st o ON o.company_id = k.company_id AND o.event_type = k.event_type AND o.position = k.position AND o.win = k.win AND o.n >= 10 LEFT JOIN st p ON p.company_id IS NULL AND p.event_type = k.event_type AND p.position = k.position AND p.win = k.win),
+r AS (SELECT *, status = 'OK' AND event_type <> '1-URGENT' AS asked, CASE WHEN status <> 'OK' THEN 'WEAK_LINK' WHEN event_type = '1-URGENT' THEN 'NO_TYPE' WHEN n < 10 THEN 'FEW' WHEN GREATEST(dn, up) / CAST(n AS DOUBLE) < {share} THEN 'SPLIT' WHEN abs(m) < lm THEN 'SMALL' WHEN NOT ((dn > up AND m < 0) OR (up > dn AND m > 0)) THEN 'SPLIT' END AS why FROM j),
+sg AS (SELECT company_id, event_type, position, horizon, CASE WHEN why IS NOT NULL THEN 'HOLD' WHEN dn > up THEN 'DOWN' ELSE 'UP' END AS label, why AS hold_reason, CASE WHEN asked THEN CASE WHEN own THEN 'COMPANY' ELSE 'POSITION' END END AS scope, CASE WHEN asked THEN n ELSE 0 END AS cases,
+ CASE WHEN asked THEN round(GREATEST(dn, up) / CAST(n AS DOUBLE), 6) END AS same_share, CASE WHEN asked THEN m END AS mean_ar FROM r)"""
 
 
-@query("X_28_signals", _SIG)
+def signals(spark, d, share: float = 0.65, means: tuple[float, float] = (0.01, 0.02)):
+    """X-28 at both horizons, from cases up to the end of training."""
+    r = T.abnormal_returns(_cases(spark, d), "company_id", _series(spark, d), (3, 20)).filter(F.col("trading_date") <= F.lit("2000-12-31").cast("date"))
+    stats = T.reaction_stats(r, (3, 20))
+    k = _cases(spark, d).select("company_id", "event_type", "position").distinct().withColumn("status", F.when(F.col("company_id") % 7 == 0, "HOLD").otherwise("OK"))
+    out = [T.signals(k, stats, win, least_mean, share=share, none="1-URGENT").withColumn("horizon", F.lit(h)) for h, win, least_mean in (("SHORT", 3, means[0]), ("LONG", 20, means[1]))]
+    return out[0].unionByName(out[1]).select("company_id", "event_type", "position", "horizon", "label", "hold_reason", "scope", "cases", "same_share", "mean_ar")
+
+
+@query("X_28_signals", _signal_sql(0.65, (0.01, 0.02)) + " SELECT * FROM sg")
 def x28(spark, d):
     return signals(spark, d)
 
@@ -152,20 +155,22 @@ _MOVE = f"""WITH {_CAL}, {_CASES}, {_AR}, m AS (SELECT company_id, AVG(abs(ar_5)
 
 @query("X_29_expected_move", _MOVE)
 def x29(spark, d):
+    """Grades are thirds of the companies by expected move; ranks come from ranges, not from one task."""
     m = _reactions(spark, d).filter("ar_5 is not null").groupBy("company_id").agg(F.round(F.avg(F.abs("ar_5")), 6).alias("expected"))
-    return m.withColumn("grade", F.floor((F.row_number().over(Window.orderBy("expected", "company_id")) - 1) * 3 / F.count(F.lit(1)).over(Window.partitionBy())))
+    n = F.broadcast(m.agg(F.count(F.lit(1)).alias("companies")))  # one row
+    return ranked_by(m, ["expected", "company_id"]).crossJoin(n).select("company_id", "expected", F.floor(F.col("rank") * 3 / F.col("companies")).alias("grade"))
 
 
-_BACK = _SIG.replace("SELECT k.company_id", ", sg AS (SELECT k.company_id", 1).replace("k AS (SELECT DISTINCT company_id, event_type, position FROM cs)\n,", "k AS (SELECT DISTINCT company_id, event_type, position FROM cs),") + """),
-te AS (SELECT ar.*, sg.label FROM ar JOIN sg USING (company_id, event_type, position) WHERE trading_date > DATE '2000-12-31' AND ar_5 IS NOT NULL AND label <> 'HOLD')
-SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER ((label = 'UP' AND ar_5 > 0) OR (label = 'DOWN' AND ar_5 < 0)) AS hits FROM te GROUP BY GROUPING SETS ((), (event_type))"""
+_BACK = _signal_sql(0.5, (0.0, 0.0)) + """, te AS (SELECT a2.*, sg.label FROM a2 JOIN sg USING (company_id, event_type, position) WHERE horizon = 'SHORT' AND trading_date > DATE '2000-12-31' AND ar_3 IS NOT NULL AND label <> 'HOLD')
+SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER ((label = 'UP' AND ar_3 > 0) OR (label = 'DOWN' AND ar_3 < 0)) AS hits FROM te GROUP BY GROUPING SETS ((), (event_type))"""
 
 
 @query("A_20_backtest", _BACK)
 def a20(spark, d):
-    r = _reactions(spark, d).filter((F.col("trading_date") > F.lit("2000-12-31").cast("date")) & F.col("ar_5").isNotNull())
-    t = r.join(signals(spark, d).filter("label <> 'HOLD'"), ["company_id", "event_type", "position"])
-    hit = ((F.col("label") == "UP") & (F.col("ar_5") > 0)) | ((F.col("label") == "DOWN") & (F.col("ar_5") < 0))
+    """Signals of the training period against what came after; without a minimum share or mean, so that there is something to test."""
+    r = _reactions(spark, d).filter((F.col("trading_date") > F.lit("2000-12-31").cast("date")) & F.col("ar_3").isNotNull())
+    t = r.join(signals(spark, d, 0.5, (0.0, 0.0)).filter("label <> 'HOLD' and horizon = 'SHORT'"), ["company_id", "event_type", "position"])
+    hit = ((F.col("label") == "UP") & (F.col("ar_3") > 0)) | ((F.col("label") == "DOWN") & (F.col("ar_3") < 0))
     return t.groupingSets([[], ["event_type"]], "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
 
 
