@@ -57,35 +57,36 @@ class Items:
         if self.near is not None:
             self.near[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
-    def bands(self, stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, least diagonal) of the bands that meet the bound; diagonals by positions in the stream."""
+    def bands(self, stream: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(document, item, least diagonal, the item's positions of the shared q-grams) of the bands that meet the bound of the item's
+        shortest passage; diagonals by positions in the stream."""
         h = gram_hashes(stream, self.q)
         at = np.arange(len(h)) if self.near is None else np.flatnonzero(self.near[(h >> np.uint64(44)).astype(np.int64)])
         if not len(self.hash) or not len(at):
-            return (np.zeros(0, np.int64),) * 3
+            return
         where = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
         same = self.hash[where] == h[at]
         at, where = at[same], where[same]
         n = self.first[where + 1] - self.first[where]
         flat = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, diagonal = self.item[flat], np.repeat(at, n) - self.pos[flat]
+        item, pos = self.item[flat], self.pos[flat]
+        diagonal = np.repeat(at, n) - pos
         doc = np.repeat(np.searchsorted(begin, at, side="right") - 1, n)
         width = self.edits + 1
         band = diagonal // width
         if self.edits:
-            item, doc, band = np.tile(item, 2), np.tile(doc, 2), np.concatenate([band, band - 1])
-        key = np.stack([doc, item, band])
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
+            item, doc, pos, band = np.tile(item, 2), np.tile(doc, 2), np.tile(pos, 2), np.concatenate([band, band - 1])
+        key = np.stack([doc, item, band, pos])
+        key = key[:, np.lexsort(key[::-1])]
         new = np.ones(key.shape[1], bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+        new[1:] = (key[:3, 1:] != key[:3, :-1]).any(0)
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, key.shape[1]))
-        good = count >= self.bound[key[1, first]]
-        doc, item, band = key[:, first[good]]
-        return doc, item, band * width
+        for k in np.flatnonzero(count >= self.bound[key[1, first]]).tolist():
+            a, n = first[k], count[k]
+            yield int(key[0, a]), int(key[1, a]), int(key[2, a]) * width, key[3, a : a + n]
 
-    def holds(self, doc: np.ndarray, item: int, diagonal: int) -> bool:
+    def holds(self, doc: np.ndarray, item: int, diagonal: int, shared: np.ndarray) -> bool:
         """Whether ``least`` consecutive words of the item stand in doc (a text's part of the stream, spaces at both ends) near the diagonal."""
         own = self.text[item]
         if not self.edits:
@@ -97,8 +98,13 @@ class Items:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
             return bool(((gaps[edges[1::2]] - gaps[edges[::2]]) > self.least).any())
         at, e = self.spaces[item], self.edits
+        starts, ends = at[: -self.least], at[self.least :] + 1
+        # The lemma once more, passage by passage: only those with enough shared grams of their own are aligned.
+        shared = np.unique(shared)
+        inside = np.searchsorted(shared, ends - self.q, side="right") - np.searchsorted(shared, starts)
+        able = inside >= np.maximum(1, ends - starts - self.q + 1 - e * self.q)
         # The shared grams lie on 2e + 2 diagonals from this one on; the alignment may leave them by e on either side.
-        return bool(aligned(own, doc, at[: -self.least], at[self.least :] + 1, diagonal - e, 4 * e + 2, e).any())
+        return bool(aligned(own, doc, starts[able], ends[able], diagonal - e, 4 * e + 2, e).any())
 
 
 def aligned(own: np.ndarray, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, diagonal: int, width: int, most: int) -> np.ndarray:
@@ -120,9 +126,7 @@ def aligned(own: np.ndarray, doc: np.ndarray, starts: np.ndarray, ends: np.ndarr
         old = cost[live]
         new = old + ~same
         new[:, :-1] = np.minimum(new[:, :-1], old[:, 1:] + 1)
-        for c in range(1, width):
-            np.minimum(new[:, c], new[:, c - 1] + 1, out=new[:, c])
-        cost[live] = new
+        cost[live] = new = np.minimum.accumulate(new - k, axis=1) + k  # any run of insertions along the row
         done = live[length[live] == i + 1]
         found[done] = cost[done].min(1, initial=most + 1) <= most
     return found
@@ -135,8 +139,8 @@ def _search(ids: list, texts: list[str], least: int, edits: int, out_type: pa.Da
             for part in _parts(batch):
                 stream, begin = streams(part.column(1).to_pylist())
                 found = set()
-                for d, i, diagonal in zip(*(x.tolist() for x in items.bands(stream, begin))):
-                    if (d, i) not in found and items.holds(np.append(stream[begin[d] : begin[d + 1]], np.uint32(32)), i, diagonal - begin[d]):
+                for d, i, diagonal, shared in items.bands(stream, begin):
+                    if (d, i) not in found and items.holds(np.append(stream[begin[d] : begin[d + 1]], np.uint32(32)), i, diagonal - begin[d], shared):
                         found.add((d, i))
                 rows = sorted(found)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _ in rows], pa.int64())), pa.array([items.ids[i] for _, i in rows], out_type)], names=["key", "item"])
@@ -189,7 +193,7 @@ def _check(least: int, edits: int):
                 items = Items([0], [item], least, edits)
                 stream, begin = streams([text])
                 doc = np.append(stream[begin[0] : begin[1]], np.uint32(32))
-                keep.append(any(items.holds(doc, 0, diagonal - begin[0]) for diagonal in sorted(set(items.bands(stream, begin)[2].tolist()))))
+                keep.append(any(items.holds(doc, 0, diagonal - begin[0], shared) for _, _, diagonal, shared in items.bands(stream, begin)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["text_id", "item"]).filter(pa.array(keep, pa.bool_()))
 
     return run
