@@ -60,7 +60,7 @@ def p8_edited(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffed(table(spark, d, "documents"), "doc_id", "text")
+    return stuffed(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 def queries() -> dict:
