@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,6 +70,20 @@ def trim_boilerplate(c: Column, markers: tuple[str, ...] = BOILERPLATE, lines: t
     return F.element_at(F.split(c, rf"{either(markers)}|(?<![^\n])(?:{either(lines)})|(?:#[^{_BLANK}#]{{2,}}[{_BLANK}]*){{3}}", 2), 1)
 
 
+def _boilerplate_pattern() -> re.Pattern:
+    anywhere, lines = ("|".join(map(re.escape, w)) for w in (BOILERPLATE, BOILERPLATE_LINES))
+    return re.compile(rf"{anywhere}|(?<![^\n])(?:{lines})|(?:#[^\s#]{{2,}}\s*){{3}}")
+
+
+_BOILERPLATE_AT = _boilerplate_pattern()
+
+
+def boilerplate_at(text: str) -> int:
+    """F-06 for a plain string: where its boilerplate begins, or its length."""
+    m = _BOILERPLATE_AT.search(text)
+    return m.start() if m else len(text)
+
+
 def canonical_url(c: Column) -> Column:
     """F-07: scheme and host lower-case, no default port, no fragment, no trailing slash; the query stays."""
     bare = F.regexp_replace(F.trim(c), r"#.*$", "")
@@ -164,10 +177,6 @@ def sentence_confidence(sentences: Column) -> Column:
     return F.round(F.least(F.lit(1.0), 0.4 + 0.15 * sentences), 6)
 
 
-def similar(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
-
-
 #: Types of F-33 with their patterns, the more special first. A caller may bring rules of its own.
 NEWS_TYPES = (
     ("LEGAL", ("소송", "제소", "patent case", "lawsuit", "reaches court")),

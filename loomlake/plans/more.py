@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import text as T
 from loomlake.functions.normalise import expand_ellipsis, folded_with_offsets
-from loomlake.operators import dq, mentions, publish, scores
+from loomlake.operators import dq, linking, mentions, publish, scores
 from loomlake.operators.serving import replace_keys, top_per
 from loomlake.plans.fixtures import fixture, with_views
 from loomlake.session import shared_path
@@ -134,18 +134,22 @@ def j21(spark, d):
 
 @query("X_02_ellipsis")
 def x02(spark, d):
-    t = fixture(spark, d, "fx_document").filter("contains(title, '·')")
-    return by_row(t, "document_id", "title", lambda x: [(p,) for p in expand_ellipsis(x, ["Golden", "Pocket"])], [("part", "string")])
+    """The prefixes are the first names that companies share."""
+    first = table(spark, d, "companies").select(F.regexp_extract("name_en", r"^(\\w{3,})", 1).alias("p"), F.regexp_extract("name_official", "^([가-힣]{2})", 1).alias("q"))
+    prefixes = first.select("p").union(first.select("q")).filter("p <> ''").groupBy("p").count().filter("count > 1").limit(100_001).collect()
+    if len(prefixes) > 100_000:
+        raise ValueError("more than 100,000 shared first names: split them")
+    known = sorted({r["p"] for r in prefixes})
+    t = _docs(spark, d).filter("contains(body, '·')")
+    return by_row(t, "document_id", "body", lambda x: [(p,) for p in expand_ellipsis(x, known)], [("part", "string")])
 
 
 @query("X_05_linked")
 def x05(spark, d):
-    """Exact or close names (0.90 on), the list checked for its size before it travels."""
-    rows = [(r[0], r[1]) for r in table(spark, d, "company_alias").select("alias_name", "ticker").limit(5001).collect()]
-    if len(rows) > 5000:
-        raise ValueError("more than 5,000 names: use the segment join")
-    names = dict(rows)
-    return by_row(table(spark, d, "company_alias"), "alias_id", "alias_name", lambda x: [(mentions.linked(x + "x" * (len(x) > 8), names),)], [("ticker", "string")])
+    """All typed aliases against all names: exact, else the one best from .90 on."""
+    c = table(spark, d, "companies")
+    names = c.select("ticker", F.col("name_official").alias("name")).union(c.select("ticker", "name_en")).union(table(spark, d, "company_alias").select("ticker", "alias_name"))
+    return linking.link_surfaces(table(spark, d, "alias_freq"), "alias", names, "name", "ticker", blocked=c.select("sector").distinct())
 
 
 @query("X_08_bio")
@@ -164,9 +168,9 @@ def x08(spark, d):
 
 @query("X_12_relations")
 def x12(spark, d):
-    """Relations of a document with the number of sentences behind them, rejects counted apart."""
+    """Relations of a document with the number of sentences behind them and the surest, rejects counted by reason."""
     c = mentions.classified(mentions.pair_candidates(_matched(spark, d)))
-    return c.groupBy("id", F.coalesce("relation", F.lit("NONE")).alias("relation"), F.coalesce("reject", F.lit("")).alias("reject")).agg(F.count(F.lit(1)).alias("sentences"))
+    return c.groupBy("id", F.coalesce("relation", F.lit("NONE")).alias("relation"), F.coalesce("reject", F.lit("")).alias("reject")).agg(F.count(F.lit(1)).alias("sentences"), F.max("confidence").alias("confidence"))
 
 
 @query("X_11_invest_patterns", "SELECT document_id, regexp_matches(body, '지분 [0-9.]+%를|bought [0-9.]+% of') AS invest FROM fx_document WHERE body IS NOT NULL")

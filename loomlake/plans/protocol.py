@@ -176,13 +176,14 @@ def x03(spark, d):
 
 @query("X_10_between")
 def x10(spark, d):
-    return mentions.between(mentions.pair_candidates(_matched(spark, d)), table(spark, d, "companies").filter("name_official rlike '^[A-Za-z]'"), "ticker", "name_official").select("id", "sentence_order", "a", "b", "gap", "relation")
+    p = mentions.pair_candidates(_matched(spark, d)).filter("sentence rlike '^[\\\\x00-\\\\x7f]*$'")
+    return mentions.between(p).select("id", "sentence_order", "a", "b", "gap", "relation")
 
 
 @query("X_13_snippets")
 def x13(spark, d):
     """Evidence of a pair: its sentences with a relation, loose partnership dropped."""
-    return mentions.classified(mentions.pair_candidates(_matched(spark, d))).filter("reject is null and relation <> 'PARTNER'").select("id", "a", "b", "relation", "sentence")
+    return mentions.classified(mentions.pair_candidates(_matched(spark, d))).filter("relation is not null and not (relation = 'PARTNER' and pattern = 'near')").select("id", "src", "dst", "relation", "confidence", "sentence")
 
 
 @query("ST_02_bounded_batches", "SELECT 3 AS batches")

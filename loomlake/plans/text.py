@@ -192,6 +192,31 @@ def f36(spark, d):
     return after_close(fixture(spark, d, "fx_event").withColumn("at", at), "at", fixture(spark, d, "fx_index").filter("idx % 3 <> 0")).select("event_id", "after_close")
 
 
+def _dictionary(spark, d):
+    """Names and curated aliases; first names that companies share as groups; sectors; preferred shares, which hide the company's name."""
+    c = table(spark, d, "companies")
+    kinds = [
+        (c, F.col("name_official"), "name", F.col("ticker")), (c, F.col("name_en"), "name", F.col("ticker")), (table(spark, d, "company_alias"), F.col("alias_name"), "name", F.col("ticker")),
+        (c, F.regexp_extract("name_en", r"^(\w{3,})", 1), "group", F.col("ticker")), (c, F.col("sector"), "industry", F.col("sector")), (c, F.concat("name_official", F.lit("우")), "block", F.col("ticker")),
+    ]
+    rows = [df.select(a.alias("alias"), F.lit(k).alias("kind"), key.alias("key"), F.lit(None).cast("string").alias("holder")) for df, a, k, key in kinds]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.filter("alias is not null and alias <> ''")
+
+
+def _documents(spark, d):
+    """A document's first line is its title."""
+    x = _docs(spark, d)
+    return x.select("document_id", F.regexp_extract("body", r"^([^\n]*)", 1).alias("title"), F.regexp_replace("body", r"^[^\n]*", "").alias("rest"), "body")
+
+
+def _batch(spark, d):
+    codes = table(spark, d, "companies").select(F.col("ticker").alias("code"), F.col("ticker").alias("key"))
+    return M.match_documents(_documents(spark, d), "document_id", "title", "rest", _dictionary(spark, d), codes)
+
+
 def _matched(spark, d):
     """Companies in documents by official and English name."""
     c = table(spark, d, "companies")
@@ -201,19 +226,34 @@ def _matched(spark, d):
 
 @query("X_01_mentions", None)
 def x01(spark, d):
-    return _matched(spark, d).select("id", F.inline("spans"))
+    """Every mention with its place, how it was found and how sure it is."""
+    return _batch(spark, d).select("id", F.inline("mentions"))
+
+
+@query("X_01_batch", None)
+def x01_batch(spark, d):
+    """The tagged batch: one pass over the documents, four tables, counted from what was stored."""
+    from loomlake.session import shared_path
+
+    tables = M.mention_batch(_batch(spark, d), shared_path(spark, "mention-batch"))
+    out = None
+    for name, df in tables.items():
+        n = df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("documents"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query("X_04_salience", None)
 def x04(spark, d):
-    """Greatest salience of a company in a document: 1 in its opening 80 characters, .8 later."""
-    s = _matched(spark, d).select("id", F.inline("spans"))
-    return s.groupBy("id", "key").agg(F.max(F.when(F.col("start") < 80, 1.0).otherwise(0.8)).alias("salience"), F.count(F.lit(1)).alias("n"))
+    """Greatest salience of a company in a document: 1 in its title, .8 in its text; .6 for the company it is filed under, as an organisation named beside it."""
+    s = _batch(spark, d).select("id", F.inline("mentions")).filter("confidence >= 0.7").select("id", "key", F.when(F.col("part") == "title", 1.0).otherwise(0.8).alias("s"), "part")
+    filed = table(spark, d, "documents").filter("text is not null and stock_code is not null").select(F.col("doc_id").alias("id"), F.col("stock_code").alias("key"), F.lit(0.6).alias("s"), F.lit("orgs").alias("part"))
+    return s.unionByName(filed).groupBy("id", "key").agg(F.max("s").alias("salience"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("part")), "+").alias("sources"))
 
 
 @query("X_06_pair_candidates", None)
 def x06(spark, d):
-    return M.pair_candidates(_matched(spark, d)).select("id", "sentence_order", "a", "b")
+    return M.pair_candidates(_matched(spark, d)).select("id", "sentence_order", "a", "b", "companies")
 
 
 @query("X_07_evidence_sentences", None)
@@ -223,7 +263,7 @@ def x07(spark, d):
 
 @query("X_09_classified", None)
 def x09(spark, d):
-    return M.classified(M.pair_candidates(_matched(spark, d))).select("id", "sentence_order", "a", "b", "relation", "reject")
+    return M.classified(M.pair_candidates(_matched(spark, d))).select("id", "sentence_order", "src", "dst", "relation", "confidence", "pattern", "reject")
 
 
 QUERIES = {k: f for k, (f, _) in _F.items()}
