@@ -146,13 +146,14 @@ def _taught(prose: DataFrame) -> DataFrame:
 def _with_lines(rows: DataFrame, prose: DataFrame, names: list[str]) -> DataFrame:
     """rows with the line (_s, _i) of each feature in the prose of their norm."""
     fit = _taught(prose).groupBy("norm").agg(*[f(_value(name), F.log("n")).alias(f"{name}_{part}") for name in names for part, f in (("s", F.regr_slope), ("i", F.regr_intercept))])
-    return rows.join(fit, "norm", "left")  # a row a language
+    return rows.join(F.broadcast(fit), "norm", "left")  # a row a norm, see above
 
 
 def scored(curves: DataFrame, rounds: int = 3) -> DataFrame:
     """curves (from ``rank_frequency``) with norm, the four parts of the score and score itself."""
-    both = curves.filter("stated is not null").groupBy("script", "stated").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= ENOUGH).select("script", "stated", F.concat_ws("/", "script", "stated").alias("_both"))
-    rows = curves.join(both, ["script", "stated"], "left").withColumn("norm", F.coalesce("_both", "script")).drop("_both")
+    whole = curves.count()
+    both = curves.filter("stated is not null").groupBy("script", "stated").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= max(ENOUGH, whole // 10_000)).select("script", "stated", F.concat_ws("/", "script", "stated").alias("_both"))
+    rows = curves.join(F.broadcast(both), ["script", "stated"], "left").withColumn("norm", F.coalesce("_both", "script")).drop("_both")
     rows = rows.withColumn("class", F.when(F.col("n") < 48, 0).when(F.col("n") < 128, 1).otherwise(2))
     rows = written(rows, "stuffing-rows")
     prose, covers = rows.filter("tail is not null"), [f"cover_{k}" for k in COVERS]
@@ -163,8 +164,8 @@ def scored(curves: DataFrame, rounds: int = 3) -> DataFrame:
         prose = lined.filter(shortfall + F.coalesce(F.greatest(F.lit(0.0), excess), F.lit(0.0)) / 2 < 0.15).select(*rows.columns)
     names = list(FEATURES)
     off = _with_lines(rows, prose, names).withColumns({f"{x}_r": _value(x) - _expected(x) for x in names}).select(*rows.columns, *[f"{x}_r" for x in names])
-    spread = _with_lines(_taught(prose), prose, names).groupBy("norm", "class").agg(*[F.percentile_approx(_value(x) - _expected(x), [0.01, 0.5, 0.99], 100_000).alias(f"{x}_q") for x in names])
-    off = off.join(spread, ["norm", "class"], "left")  # three rows a language
+    spread = _with_lines(_taught(prose), prose, names).groupBy("norm", "class").agg(*[F.percentile_approx(_value(x) - _expected(x), [0.01, 0.5, 0.99], 10_000).alias(f"{x}_q") for x in names])
+    off = off.join(F.broadcast(spread), ["norm", "class"], "left")  # three rows a norm
 
     def units(x: str) -> F.Column:
         """How far beyond the middle of prose, in its own stray to that side."""
