@@ -150,6 +150,35 @@ def latest(spark: SparkSession, root: str) -> dict | None:
     return max(marks, key=lambda m: (m["as_of"], m["run"]), default=None)
 
 
+def snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """K-15: (as_of, run, rows, status) of the verified runs: the newest is CURRENT, those before are SUPERSEDED. A run is a small file, so the list is the driver's."""
+    folder = Folder(spark, root)
+    marks = sorted((json.loads(folder.get(n)) for n in folder.names() if n.startswith("VERIFIED-")), key=lambda m: (m["as_of"], m["run"]))
+    rows = [(m["as_of"], m["run"], m["rows"], "CURRENT" if m is marks[-1] else "SUPERSEDED") for m in marks]
+    return spark.createDataFrame(rows, "as_of string, run string, rows long, status string")
+
+
+def staged_load(stage: DataFrame, target: DataFrame, known: DataFrame, natural: str, key: str, least_resolved: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """K-21: (target after the load, rejected rows). Staged rows get the columns of ``known`` by their natural key; those without are rejected.
+
+    Guards, checked before anything is changed (ValueError): a natural key that means two things, a repeated key in the stage, fewer than ``least_resolved``
+    of the staged rows resolved. Loaded rows replace the target's of the same key; a second load of the same stage changes nothing.
+    """
+    from loomlake.operators.dq import duplicate_keys
+    from loomlake.operators.serving import replace_keys
+
+    if not duplicate_keys(known, [natural]).isEmpty():
+        raise ValueError(f"{natural} is not unique")
+    if not duplicate_keys(stage, [key]).isEmpty():
+        raise ValueError(f"{key} is repeated in the stage")
+    resolved = stage.join(known.withColumn("_known", F.lit(True)), natural, "left")
+    n = resolved.agg(F.count(F.lit(1)).alias("n"), F.count("_known").alias("k")).first()
+    if n["k"] < least_resolved * n["n"]:
+        raise ValueError(f"only {n['k']} of {n['n']} staged rows have a key")
+    good = resolved.filter("_known is not null").select(*target.columns)
+    return replace_keys(target, good, [key]), resolved.filter("_known is null").select(*stage.columns)
+
+
 def same_bag(a: DataFrame, b: DataFrame) -> bool:
     """K-04, U-04: equal rows with equal repeats."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

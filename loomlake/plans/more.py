@@ -207,22 +207,6 @@ def q06(spark, d):
     return li.agg(F.count(F.lit(1)).alias("before")).crossJoin(li.join(o, li["l_orderkey"] == o["o_orderkey"]).agg(F.count(F.lit(1)).alias("after")))  # one row each
 
 
-@query("Q_09_monotonic", "SELECT 2 AS runs, 1 AS refused")
-def q09(spark, d):
-    """Two runs in order are taken, an exact retry adds none, an older one is refused."""
-    root, c = shared_path(spark, "q09"), fixture(spark, d, "fx_company").select("company_id", "name")
-    publish.publish(c, root, "2024-01-01", ["company_id"])
-    publish.publish(c, root, "2024-01-01", ["company_id"])
-    publish.publish(c, root, "2024-02-01", ["company_id"])
-    refused = 0
-    try:
-        publish.publish(c, root, "2023-01-01", ["company_id"])
-    except ValueError:
-        refused = 1
-    runs = sum(n.startswith("VERIFIED-") for n in publish.Folder(spark, root).names())
-    return spark.createDataFrame([(runs, refused)], "runs int, refused int")
-
-
 @query("Q_10_inventory")
 def q10(spark, d):
     root = shared_path(spark, "q10")
@@ -237,20 +221,6 @@ def k02(spark, d):
     return readers.strict_jsonl(spark, root, "company_id bigint, name string")
 
 
-@query("K_04_shard", "SELECT TRUE AS same")
-def k04(spark, d):
-    root, e = shared_path(spark, "k04"), fixture(spark, d, "fx_edge")
-    e.write.parquet(root)
-    return spark.createDataFrame([(publish.same_bag(e, spark.read.parquet(root)),)], "same boolean")
-
-
-@query("K_15_supersede", "SELECT MAX(company_id) AS company_id, COUNT(*) AS superseded FROM fx_company")
-def k15(spark, d):
-    """The newest row of a snapshot stays current, the others are superseded."""
-    c = fixture(spark, d, "fx_company").withColumn("current", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("company_id"))) == 1)
-    return c.agg(F.max(F.when(F.col("current"), F.col("company_id"))).alias("company_id"), F.count(F.lit(1)).alias("superseded"))
-
-
 @query("K_16_additive", "SELECT src, dst, rel FROM fx_edge UNION SELECT LEAST(source_company_id, target_company_id), GREATEST(source_company_id, target_company_id), relationship_type FROM fx_evidence WHERE confidence >= 0.99")
 def k16(spark, d):
     """New relations are added where the snapshot has none."""
@@ -280,12 +250,6 @@ def k20(spark, d):
     return replace_keys(p, p.filter("company_id = 3").withColumn("close_price", (F.col("close_price") * 2).cast("decimal(20,4)")), ["company_id", "trading_date"])
 
 
-@query("K_22_stale", "SELECT src, dst, rel FROM fx_edge WHERE strength >= 0.5")
-def k22(spark, d):
-    e = fixture(spark, d, "fx_edge")
-    return e.join(e.filter("strength >= 0.5").select("src", "dst", "rel"), ["src", "dst", "rel"], "left_semi").select("src", "dst", "rel")
-
-
 @query("S_11_unique_receipts", "SELECT rcept_no, COUNT(*) AS rows FROM collect_dart_rank_range GROUP BY 1 HAVING COUNT(*) > 1")
 def s11(spark, d):
     return dq.duplicate_keys(table(spark, d, "collect_dart_rank_range"), ["rcept_no"])

@@ -153,12 +153,6 @@ def q03(spark, d):
     return dq.conflicts(fixture(spark, d, "fx_evidence"), ["document_id"], ["impact_direction"])
 
 
-@query("Q_05_schema", "SELECT 0 AS differences")
-def q05(spark, d):
-    diff = dq.schema_differences(fixture(spark, d, "fx_company"), {"company_id": "bigint", "name": "string", "industry": "string", "market": "string", "status": "string", "market_cap": "decimal(20,2)"})
-    return spark.createDataFrame([(len(diff),)], "differences int")
-
-
 @query("Q_07_incomplete", "SELECT company_id, COUNT(DISTINCT event_type) AS parts FROM fx_event GROUP BY 1 HAVING COUNT(DISTINCT event_type) <> 4")
 def q07(spark, d):
     return dq.incomplete(fixture(spark, d, "fx_event"), ["company_id"], "event_type", 4)

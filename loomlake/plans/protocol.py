@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from loomlake.functions import text as T
 from loomlake.operators import mentions, publish
 from loomlake.operators.once import SeenStore
-from loomlake.operators.serving import replace_keys, top_per
+from loomlake.operators.serving import ranked_by, replace_keys, top_per
 from loomlake.plans.fixtures import fixture, with_views
 from loomlake.plans.more import _docs, _matched, by_row
 from loomlake.plans.platform import _feed
@@ -57,26 +56,7 @@ def s15(spark, d):
 
 @query("S_17_chunks", "SELECT CAST((ROW_NUMBER() OVER (ORDER BY company_id) - 1) // 10 AS BIGINT) AS chunk, company_id FROM fx_company")
 def s17(spark, d):
-    from pyspark.sql import Window
-
-    c = fixture(spark, d, "fx_company").select("company_id")
-    return c.select(F.floor((F.row_number().over(Window.orderBy("company_id")) - 1) / 10).alias("chunk"), "company_id")
-
-
-@query("S_24_latest_run", "SELECT '2024-02-01' AS as_of, 100 AS rows")
-def s24(spark, d):
-    root = shared_path(spark, "s24")
-    c = fixture(spark, d, "fx_company").select("company_id", "name")
-    for as_of in ("2024-01-01", "2024-02-01"):
-        publish.publish(c, root, as_of, ["company_id"])
-    m = publish.latest(spark, root)
-    return spark.createDataFrame([(m["as_of"], 100 if m["rows"] == c.count() else 0)], "as_of string, rows int")
-
-
-@query("S_25_table_read", "SELECT company_id, market FROM fx_company WHERE status = 'ACTIVE'")
-def s25(spark, d):
-    """A service table through a view, as a JDBC read would be: filter and columns go to the scan."""
-    return fixture(spark, d, "fx_company").filter("status = 'ACTIVE'").select("company_id", "market")
+    return ranked_by(fixture(spark, d, "fx_company").select("company_id"), ["company_id"]).select(F.floor(F.col("rank") / 10).alias("chunk"), "company_id")
 
 
 @query("S_26_text_scan", "SELECT COUNT(*) AS lines FROM events")
@@ -93,18 +73,6 @@ def s28(spark, d):
     return readers.dictionary_csv(spark, root, "p_partkey bigint, p_name string", "NULL")
 
 
-@query("K_01_write_once", "SELECT 1 AS refused")
-def k01(spark, d):
-    root, refused = shared_path(spark, "k01"), 0
-    c = fixture(spark, d, "fx_company")
-    c.write.mode("errorifexists").partitionBy("market").parquet(root)
-    try:
-        c.write.mode("errorifexists").partitionBy("market").parquet(root)
-    except AnalysisException:
-        refused = 1
-    return spark.createDataFrame([(refused,)], "refused int")
-
-
 @query("K_06_manifest", "SELECT 'edges' AS name, COUNT(*) AS rows FROM fx_edge")
 def k06(spark, d):
     root = shared_path(spark, "k06")
@@ -129,13 +97,6 @@ def k09(spark, d):
     return spark.read.parquet(f"{out}/quarantine").filter(F.array_contains("broken", "event_id")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("K_10_outbox", "SELECT url FROM realtime_analyzer WHERE kafka_partition = 1 EXCEPT SELECT url FROM realtime_analyzer WHERE kafka_partition <> 1")
-def k10(spark, d):
-    """Pages are queued once: those seen before are left out."""
-    t = table(spark, d, "realtime_analyzer")
-    return t.filter("kafka_partition = 1").select("url").distinct().join(t.filter("kafka_partition <> 1").select("url"), "url", "left_anti")
-
-
 @query("K_11_snapshot", "SELECT company_id, name FROM fx_company WHERE company_id > 3")
 def k11(spark, d):
     root, c = shared_path(spark, "k11"), fixture(spark, d, "fx_company").select("company_id", "name")
@@ -186,15 +147,6 @@ def x13(spark, d):
     return mentions.classified(mentions.pair_candidates(_matched(spark, d))).filter("relation is not null and not (relation = 'PARTNER' and pattern = 'near')").select("id", "src", "dst", "relation", "confidence", "sentence")
 
 
-@query("ST_02_bounded_batches", "SELECT 3 AS batches")
-def st02(spark, d):
-    """One file a trigger: as many batches as files with rows."""
-    root, out = _feed(spark, d), shared_path(spark, "bounded")
-    ingest.land(ingest.file_source(spark, root), out, f"{out}/checkpoint").awaitTermination()
-    n = sum(x.startswith("batch=") for x in publish.Folder(spark, f"{out}/valid").names())
-    return spark.createDataFrame([(n,)], "batches int")
-
-
 @query("ST_05_url_once", "SELECT COUNT(DISTINCT url) AS urls FROM realtime_analyzer WHERE url IS NOT NULL")
 def st05(spark, d):
     root, out = _feed(spark, d), shared_path(spark, "urls")

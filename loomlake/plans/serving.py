@@ -233,8 +233,11 @@ def j19(spark, d):
 
 @query("J_22_pairs", "SELECT x.company_id AS a, y.company_id AS b, COUNT(*) AS documents FROM fx_mention x JOIN fx_mention y ON x.document_id = y.document_id AND x.company_id < y.company_id GROUP BY ALL")
 def j22(spark, d):
-    m = fixture(spark, d, "fx_mention")
-    return m.withColumnRenamed("company_id", "a").join(m.withColumnRenamed("company_id", "b"), "document_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("documents"))
+    """Pairs are made within a document's own row: nothing is joined to itself."""
+    from loomlake.operators.graph import segment_pairs
+
+    m = fixture(spark, d, "fx_mention").withColumn("segment", F.lit(0))
+    return segment_pairs(m, "document_id", "segment", "company_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("J_23_update_ok_only", "SELECT i.event_id, CASE WHEN i.status = 'OK' THEN COALESCE(e.value, i.score) ELSE i.score END AS score FROM fx_impact i LEFT JOIN (SELECT event_id, value FROM fx_event WHERE status = 'ACTIVE') e USING (event_id)")
@@ -286,7 +289,7 @@ def o05(spark, d):
 @query("O_06_cap_order", "SELECT company_id, name, ROW_NUMBER() OVER (ORDER BY CASE WHEN market_cap > 0 THEN market_cap END DESC NULLS LAST, name) AS rn FROM fx_company")
 def o06(spark, d):
     cap = F.when(F.col("market_cap") > 0, F.col("market_cap"))
-    return fixture(spark, d, "fx_company").select("company_id", "name", F.row_number().over(Window.orderBy(cap.desc_nulls_last(), "name")).cast("long").alias("rn"))
+    return S.ranked_by(fixture(spark, d, "fx_company").select("company_id", "name", cap.alias("cap")), [F.desc_nulls_last("cap"), F.col("name")]).select("company_id", "name", (F.col("rank") + 1).alias("rn"))
 
 
 @query("O_07_match_first", "SELECT event_id FROM fx_event WHERE company_id IN (3, 4) ORDER BY (company_id = 4) DESC NULLS LAST, dateline DESC, event_id LIMIT 30")
@@ -375,7 +378,8 @@ def w04(spark, d):
 @query("W_05_grades", "SELECT company_id, CAST((ROW_NUMBER() OVER (ORDER BY m, company_id) - 1) * 3 // COUNT(*) OVER () AS BIGINT) AS grade FROM (SELECT company_id, AVG(value) AS m FROM fx_event GROUP BY 1)")
 def w05(spark, d):
     m = fixture(spark, d, "fx_event").groupBy("company_id").agg(F.avg("value").alias("m"))
-    return m.select("company_id", F.floor((F.row_number().over(Window.orderBy("m", "company_id")) - 1) * 3 / F.count(F.lit(1)).over(Window.partitionBy())).alias("grade"))
+    n = F.broadcast(m.agg(F.count(F.lit(1)).alias("n")))  # one row
+    return S.ranked_by(m, ["m", "company_id"]).crossJoin(n).select("company_id", F.floor(F.col("rank") * 3 / F.col("n")).alias("grade"))
 
 
 @query("W_06_size_class", "SELECT company_id, CAST(rn AS BIGINT) AS rn, CASE WHEN rn <= 5 THEN 'LARGE' WHEN rn <= 12 THEN 'MID' ELSE 'SMALL' END AS size FROM (SELECT company_id, ROW_NUMBER() OVER (PARTITION BY market ORDER BY market_cap DESC, company_id) AS rn FROM fx_company)")
@@ -425,7 +429,8 @@ def w15(spark, d):
 @query("W_16_degree_percentile", "SELECT me, round((ROW_NUMBER() OVER (ORDER BY k, me) - 1) / NULLIF(COUNT(*) OVER () - 1, 0), 8) AS pct FROM (SELECT me, COUNT(*) AS k FROM (SELECT src AS me FROM fx_edge UNION ALL SELECT dst FROM fx_edge) GROUP BY 1)")
 def w16(spark, d):
     k = S.both_ways(fixture(spark, d, "fx_edge"), "src", "dst").groupBy("me").agg(F.count(F.lit(1)).alias("k"))
-    return k.select("me", F.round(F.try_divide(F.row_number().over(Window.orderBy("k", "me")) - 1, F.count(F.lit(1)).over(Window.partitionBy()) - 1), 8).alias("pct"))
+    n = F.broadcast(k.agg(F.count(F.lit(1)).alias("n")))  # one row
+    return S.ranked_by(k, ["k", "me"]).crossJoin(n).select("me", F.round(F.try_divide(F.col("rank"), F.col("n") - 1), 8).alias("pct"))
 
 
 @query("W_17_distinct_on", "SELECT document_id, source_company_id, target_company_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY score DESC NULLS LAST, source_company_id, target_company_id, relationship_type) AS rn FROM fx_evidence) WHERE rn = 1")
@@ -489,7 +494,9 @@ def c03(spark, d):
 @query("C_04_sort_quotes", "SELECT company_id, ROW_NUMBER() OVER (ORDER BY CASE WHEN market_cap > 0 THEN market_cap END ASC NULLS LAST, name) AS up, ROW_NUMBER() OVER (ORDER BY CASE WHEN market_cap > 0 THEN market_cap END DESC NULLS LAST, name) AS down FROM fx_company")
 def c04(spark, d):
     cap = F.when(F.col("market_cap") > 0, F.col("market_cap"))
-    return fixture(spark, d, "fx_company").select("company_id", *[F.row_number().over(Window.orderBy(o, "name")).cast("long").alias(n) for o, n in ((cap.asc_nulls_last(), "up"), (cap.desc_nulls_last(), "down"))])
+    c = fixture(spark, d, "fx_company").select("company_id", "name", cap.alias("cap"))
+    up = S.ranked_by(c, [F.asc_nulls_last("cap"), F.col("name")]).select("company_id", (F.col("rank") + 1).alias("up"))
+    return up.join(S.ranked_by(c, [F.desc_nulls_last("cap"), F.col("name")]).select("company_id", (F.col("rank") + 1).alias("down")), "company_id")
 
 
 @query("C_05_preset", f"WITH {_Q} SELECT company_id, news FROM q WHERE CAST(close AS DOUBLE) < CAST(high AS DOUBLE) ORDER BY news DESC, company_id LIMIT 10")

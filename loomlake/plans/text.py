@@ -54,28 +54,11 @@ def f08(spark, d):
     return fixture(spark, d, "fx_event").select("event_id", T.identity_hash(F.col("event_type"), F.col("company_id").cast("string")).alias("id"))
 
 
-@query("F_09_uuid5", None)
-def f09(spark, d):
-    return fixture(spark, d, "fx_event").select("event_id", T.uuid5("6ba7b8119dad11d180b400c04fd430c8", F.col("event_id").cast("string")).alias("uuid"))
-
-
-@query("F_10_bucket", None)
-def f10(spark, d):
-    return fixture(spark, d, "fx_event").select("event_id", T.bucket(F.col("event_id").cast("string")).alias("bucket"))
-
-
 @query("F_11_normal_name", "SELECT company_id, regexp_replace(lower(name), '[#\\s]+', '', 'g') AS key FROM fx_company")
 def f11(spark, d):
     return fixture(spark, d, "fx_company").select("company_id", T.normal_name(F.col("name")).alias("key"))
 
 
-@query("F_16_shingles", None)
-def f16(spark, d):
-    """A title against all of the text behind it."""
-    t = fixture(spark, d, "fx_document").filter("title is not null")
-    return t.select("document_id", F.round(T.shingle_overlap(F.col("title"), F.substring("body", F.length("title") + 1, F.length("body"))), 6).alias("overlap"))
-
-
 @query("F_17_end_of_day", "SELECT trading_date, company_id, CAST(trading_date AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS at FROM fx_price")
 def f17(spark, d):
     return fixture(spark, d, "fx_price").select("trading_date", "company_id", (F.date_add("trading_date", 1).cast("timestamp_ntz") - F.expr("interval 1 microsecond")).alias("at"))

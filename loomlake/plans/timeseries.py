@@ -212,12 +212,6 @@ def x32(spark, d):
     return p.select("y", "pred", F.inline(cells)).groupBy("tau").agg(F.count_if("on").alias("covered"), F.count_if(F.col("on") & (F.col("y") == F.col("pred"))).alias("correct"))
 
 
-@query("X_31_time_split", "SELECT CASE WHEN trading_date <= DATE '1999-12-31' THEN 'TRAIN' WHEN trading_date <= DATE '2000-12-31' THEN 'VALID' ELSE 'TEST' END AS part, COUNT(*) AS n FROM fx_price GROUP BY 1")
-def x31(spark, d):
-    p = fixture(spark, d, "fx_price")
-    return p.groupBy(F.when(F.col("trading_date") <= F.lit("1999-12-31").cast("date"), "TRAIN").when(F.col("trading_date") <= F.lit("2000-12-31").cast("date"), "VALID").otherwise("TEST").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("X_37_chart", f"WITH {_CAL} SELECT e.company_id, e.idx, o.offset_days AS \"offset\", r.close, round(r.close / NULLIF(b.close, 0) - 1, 8) AS cumulative FROM (SELECT company_id, MAX(idx) - 60 AS idx FROM sr GROUP BY 1) e CROSS JOIN (SELECT CAST(unnest(range(-5, 21)) AS INTEGER) AS offset_days) o JOIN ix ON ix.idx = e.idx + o.offset_days LEFT JOIN sr b ON b.company_id = e.company_id AND b.idx = e.idx - 1 LEFT JOIN sr r ON r.company_id = e.company_id AND r.idx = e.idx + o.offset_days")
 def x37(spark, d):
     s = _series(spark, d)
@@ -225,11 +219,5 @@ def x37(spark, d):
     return T.chart(e, "company_id", s, fixture(spark, d, "fx_index")).select("company_id", "idx", "offset", "close", "cumulative")
 
 
-@query("X_30_features", f"WITH {_CAL}, {_CASES} SELECT company_id, COUNT(*) AS cases, " + ", ".join(f"COUNT(*) FILTER (event_type = '{t}') AS t{k}" for k, t in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM"))) + " FROM cs GROUP BY 1")
-def x30(spark, d):
-    """Features per company: vocabulary of types pivoted to counts."""
-    return _cases(spark, d).groupBy("company_id").agg(F.count(F.lit(1)).alias("cases"), *[F.count_if(F.col("event_type") == t).alias(f"t{k}") for k, t in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM"))])
-
-
 QUERIES = {k: f for k, (f, _) in _F.items()}
 SQL = {k: with_views(s) for k, (_, s) in _F.items() if s}

@@ -89,3 +89,19 @@ def bisected(counts: list[tuple[str, int]], most: int) -> list[tuple[str, str, i
 
     split(0, len(counts))
     return out
+
+
+def ranged(df: DataFrame, key: str, parts: int) -> list[str]:
+    """S-25: conditions that cut a table by its key as a partitioned JDBC read does: equal steps from least to greatest, the ends open, null keys in the first."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None or parts < 2 or high - low < parts:
+        return ["true"]
+    edges = [low + (high - low) * k // parts for k in range(1, parts)]
+    middle = [f"{key} >= {a} and {key} < {b}" for a, b in zip(edges, edges[1:])]
+    return [f"{key} < {edges[0]} or {key} is null", *middle, f"{key} >= {edges[-1]}"]
+
+
+def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
+    """S-25: a service table in ranges of its key; filters and columns go to the server. Needs the database's driver on the class path."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).option("partitionColumn", key).option("lowerBound", low).option("upperBound", high)
+    return reader.option("numPartitions", parts).option("fetchsize", 10_000).options(**options).load()

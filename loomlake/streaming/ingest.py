@@ -79,6 +79,41 @@ def upsert(stream: DataFrame, root: str, checkpoint: str, key: str, cancelled: F
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def offset_faults(progress: DataFrame, bounds: DataFrame) -> DataFrame:
+    """ST-03: (partition, fault) of the partitions that must not be read on: ``gap`` (the next offset is older than what is kept), ``truncated``
+    (it lies behind the end), ``commit_ahead`` (the receiver committed more than was landed), ``unknown`` (no such partition).
+
+    progress: (partition, next_offset, committed); bounds: (partition, low, high), high exclusive. Null committed is none.
+    """
+    fault = (
+        F.when(F.col("low").isNull(), "unknown").when(F.col("next_offset") < F.col("low"), "gap").when(F.col("next_offset") > F.col("high"), "truncated").when(F.col("committed") > F.col("next_offset"), "commit_ahead")
+    )
+    return progress.join(bounds, "partition", "left").select("partition", fault.alias("fault")).filter("fault is not null")
+
+
+def checked(progress: DataFrame, bounds: DataFrame) -> None:
+    """Refuses to start (ValueError) if any partition has a fault; at most a few are named."""
+    bad = offset_faults(progress, bounds).orderBy("partition").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"partition {r['partition']}: {r['fault']}" for r in bad))
+
+
+def poll_changes(feed: DataFrame, key: str, status: str, at: str, since: str, until: str, overlap: str = "15 minutes") -> DataFrame:
+    """ST-06: the newest state of each key among the changes from ``overlap`` before ``since`` up to ``until``; ties by status. Polls overlap, so late changes
+    are seen by the next one, and applying a state twice changes nothing."""
+    window = feed.filter((F.col(at) >= F.expr(f"timestamp_ntz'{since}' - interval {overlap}")) & (F.col(at) < F.lit(until).cast("timestamp_ntz")))
+    return window.groupBy(key).agg(F.max_by(F.struct(*[c for c in feed.columns if c != key]), F.struct(at, status)).alias("r")).select(key, "r.*")
+
+
+def apply_changes(state: DataFrame | None, changes: DataFrame, key: str, at: str) -> DataFrame:
+    """The state after the changes: a change replaces a row that is not newer. Cancelled keys stay as such, so an older change cannot revive them."""
+    if state is None:
+        return changes
+    both = state.withColumn("_o", F.lit(0)).unionByName(changes.withColumn("_o", F.lit(1)))
+    cols = [c for c in state.columns if c != key]
+    return both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(at, "_o")).alias("r")).select(key, "r.*")
+
+
 def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 day", late: str = "3 days") -> DataFrame:
     """Event-time counts with a watermark: an extension over plain look-backs."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count(F.lit(1)).alias("n"))
