@@ -63,22 +63,47 @@ def land_once(stream: DataFrame, root: str, checkpoint: str, store: SeenStore):
     return stream.writeStream.foreachBatch(once_sink(root, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(stream: DataFrame, root: str, checkpoint: str, key: str, cancelled: F.Column):
-    """ST-06 to ST-08: a table by key that each batch replaces and retracts; versions are folders named by batch, the newest is the state."""
+def upsert(stream: DataFrame, root: str, checkpoint: str, key: str):
+    """ST-06 to ST-08: a table by key that batches replace. Each batch appends the newest row of its own keys, a folder named by its number, so a
+    replay overwrites itself and no batch rewrites the table; ``state`` reads it, ``compact`` folds what has gathered."""
 
     def write(batch: DataFrame, number: int) -> None:
-        from loomlake.operators.publish import Folder
-        from loomlake.operators.serving import replace_keys
-
-        spark = batch.sparkSession
-        known = sorted(int(n[2:]) for n in Folder(spark, root).names() if n.startswith("v=") and int(n[2:]) < number)
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct("collected_at", "offset")).alias("r")).select("r.*")
-        state = replace_keys(spark.read.parquet(f"{root}/v={known[-1]}"), new, [key]) if known else new
-        state.filter(~cancelled).write.mode("overwrite").parquet(f"{root}/v={number}")
+        _newest(batch, key).write.mode("overwrite").parquet(f"{root}/d={number:09d}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct("collected_at", "offset")).alias("r")).select(key, "r.*")
+
+
+def _folders(spark: SparkSession, root: str) -> list[str]:
+    """The newest base, if any, and the batches after it."""
+    from loomlake.operators.publish import Folder
+
+    names = Folder(spark, root).names()
+    done = {n[5:] for n in names if n.startswith("DONE-")}
+    base = max((n for n in names if n.startswith("b=") and n[2:] in done), default=None)
+    own = [n for n in names if n.startswith("d=") and (base is None or n[2:] > base[2:])]
+    return ([base] if base else []) + sorted(own)
+
+
+def state(spark: SparkSession, root: str, key: str, cancelled: F.Column | None = None) -> DataFrame:
+    """The newest row of each key over all batches, the cancelled left out."""
+    rows = _newest(spark.read.parquet(*[f"{root}/{n}" for n in _folders(spark, root)]), key)
+    return rows if cancelled is None else rows.filter(~cancelled)
+
+
+def compact(spark: SparkSession, root: str, key: str) -> None:
+    """Folds the batches so far into one base, valid once its marker is there; the folded batches stay until the next sweep of the folder."""
+    from loomlake.operators.publish import Folder
+
+    last = _folders(spark, root)[-1][2:]
+    state(spark, root, key).write.mode("overwrite").parquet(f"{root}/b={last}")
+    Folder(spark, root).put(f"DONE-{last}", "")
+
+
 def offset_faults(progress: DataFrame, bounds: DataFrame) -> DataFrame:
     """ST-03: (partition, fault) of the partitions that must not be read on: ``gap`` (the next offset is older than what is kept), ``truncated``
     (it lies behind the end), ``commit_ahead`` (the receiver committed more than was landed), ``unknown`` (no such partition).
