@@ -162,7 +162,7 @@ def x29(spark, d):
 
 
 _BACK = _signal_sql(0.5, (0.0, 0.0)) + """, te AS (SELECT a2.*, sg.label FROM a2 JOIN sg USING (company_id, event_type, position) WHERE horizon = 'SHORT' AND trading_date > DATE '2000-12-31' AND ar_3 IS NOT NULL AND label <> 'HOLD')
-SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER ((label = 'UP' AND ar_3 > 0) OR (label = 'DOWN' AND ar_3 < 0)) AS hits FROM te GROUP BY GROUPING SETS ((), (event_type))"""
+SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER ((label = 'UP' AND ar_3 > 0) OR (label = 'DOWN' AND ar_3 < 0)) AS hits FROM te GROUP BY GROUPING SETS ((), (event_type)) HAVING COUNT(*) > 0"""
 
 
 @query("A_20_backtest", _BACK)
