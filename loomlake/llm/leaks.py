@@ -49,6 +49,8 @@ class Items:
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
         pos = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.zeros(0, np.int64)
+        self.whole = np.concatenate(self.text) if self.text else np.zeros(0, np.uint32)
+        self.offset = np.cumsum([0, *[len(t) for t in self.text]])[:-1] if self.text else np.zeros(0, np.int64)
         order = np.argsort(h, kind="stable")
         self.item, self.pos = item[order], pos[order]
         self.hash, first = np.unique(h[order], return_index=True)
@@ -86,49 +88,70 @@ class Items:
             a, n = first[k], count[k]
             yield int(key[0, a]), int(key[1, a]), int(key[2, a]) * width, key[3, a : a + n]
 
-    def holds(self, doc: np.ndarray, item: int, diagonal: int, shared: np.ndarray) -> bool:
-        """Whether ``least`` consecutive words of the item stand in doc (a text's part of the stream, spaces at both ends) near the diagonal."""
-        own = self.text[item]
-        if not self.edits:
-            lo, hi = max(0, -diagonal), min(len(own), len(doc) - diagonal)
-            if hi - lo <= 0:
-                return False
-            same = own[lo:hi] == doc[lo + diagonal : hi + diagonal]
-            gaps = np.concatenate([[0], np.cumsum(own[lo:hi] == 32)])
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-            return bool(((gaps[edges[1::2]] - gaps[edges[::2]]) > self.least).any())
-        at, e = self.spaces[item], self.edits
-        starts, ends = at[: -self.least], at[self.least :] + 1
-        # The lemma once more, passage by passage: only those with enough shared grams of their own are aligned.
-        shared = np.unique(shared)
+    def able(self, item: int, shared: np.ndarray) -> np.ndarray:
+        """The lemma once more, passage by passage: which of the item's passages have enough shared grams of their own."""
+        starts, ends = self.spaces[item][: -self.least], self.spaces[item][self.least :] + 1
         inside = np.searchsorted(shared, ends - self.q, side="right") - np.searchsorted(shared, starts)
-        able = inside >= np.maximum(1, ends - starts - self.q + 1 - e * self.q)
-        # The shared grams lie on 2e + 2 diagonals from this one on; the alignment may leave them by e on either side.
-        return bool(aligned(own, doc, starts[able], ends[able], diagonal - e, 4 * e + 2, e).any())
-
+        return np.flatnonzero(inside >= np.maximum(1, ends - starts - self.q + 1 - self.edits * self.q))
 
-def aligned(own: np.ndarray, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, diagonal: int, width: int, most: int) -> np.ndarray:
-    """For each passage own[start:end]: whether it can be turned into some run of doc by ``most`` edits along the ``width`` diagonals
-    from ``diagonal`` on. All passages advance together, a character at a time; a row of the table is the band alone."""
+    def same(self, doc: np.ndarray, item: int, diagonal: int) -> bool:
+        """Whether ``least`` consecutive words of the item stand in doc along one diagonal, letter by letter."""
+        own = self.text[item]
+        lo, hi = max(0, -diagonal), min(len(own), len(doc) - diagonal)
+        if hi - lo <= 0:
+            return False
+        same = own[lo:hi] == doc[lo + diagonal : hi + diagonal]
+        gaps = np.concatenate([[0], np.cumsum(own[lo:hi] == 32)])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+        return bool(((gaps[edges[1::2]] - gaps[edges[::2]]) > self.least).any())
+
+    def found(self, stream: np.ndarray, begin: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) of all texts of a stream. A band with an unharmed passage needs no alignment; the passages of all others
+        are aligned at once."""
+        stream = np.append(stream, np.uint32(32))  # every text ends where the next one's leading space stands
+        e, out, rest = self.edits, set(), []
+        for d, i, diagonal, shared in self.bands(stream[:-1], begin):
+            if (d, i) in out:
+                continue
+            passages = self.able(i, np.unique(shared))
+            if len(passages):
+                doc = stream[begin[d] : begin[d + 1] + 1]
+                if any(self.same(doc, i, diagonal - begin[d] + k) for k in range(2 * e + 2 if e else 1)):
+                    out.add((d, i))
+                elif e:
+                    rest.append((d, i, diagonal, passages))
+        rest = [r for r in rest if r[:2] not in out]
+        if rest:
+            n = [len(r[3]) for r in rest]
+            d, i, diagonal = (np.repeat(np.array([r[c] for r in rest], np.int64), n) for c in range(3))
+            starts = np.concatenate([self.spaces[r[1]][r[3]] for r in rest])
+            ends = np.concatenate([self.spaces[r[1]][r[3] + self.least] + 1 for r in rest])
+            # The shared grams lie on 2e + 2 diagonals from this one on; the alignment may leave them by e on either side.
+            ok = aligned(self.whole, self.offset[i] + starts, ends - starts, stream, starts + diagonal - e, begin[d], begin[d + 1] + 1, 4 * e + 2, e)
+            out |= set(zip(d[ok].tolist(), i[ok].tolist()))
+        return out
+
+
+def aligned(own: np.ndarray, first: np.ndarray, length: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, most: int) -> np.ndarray:
+    """For each passage own[first : first + length]: whether it can be turned into some run of doc[low:high] by ``most`` edits, its first character
+    at one of the ``width`` places from ``at`` on and the others along these diagonals. All passages advance together, a character at a
+    time; a row of the table is the band alone."""
     k = np.arange(width)
-    cost = np.zeros((len(starts), width), np.int32)
-    length = ends - starts
-    found = np.zeros(len(starts), bool)
+    live, cost = np.arange(len(first)), np.zeros((len(first), width), np.int32)
+    found = np.zeros(len(first), bool)
     for i in range(int(length.max(initial=0))):
-        live = np.flatnonzero((length > i) & ~found)
-        live = live[cost[live].min(1, initial=most + 1) <= most]
+        j = (at[live] + i)[:, None] + k
+        inside = (j >= low[live][:, None]) & (j < high[live][:, None])
+        same = (doc[np.clip(j, 0, len(doc) - 1)] == own[first[live] + i][:, None]) & inside
+        new = cost + ~same
+        np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])
+        cost = np.minimum.accumulate(new - k, axis=1) + k  # any run of insertions along the row
+        can = cost.min(1) <= most
+        found[live[can & (length[live] == i + 1)]] = True
+        can &= length[live] > i + 1
+        live, cost = live[can], cost[can]
         if not len(live):
             break
-        at = starts[live] + i
-        j = at[:, None] + diagonal + k
-        inside = (j >= 0) & (j < len(doc))
-        same = (doc[np.clip(j, 0, len(doc) - 1)] == own[at][:, None]) & inside
-        old = cost[live]
-        new = old + ~same
-        new[:, :-1] = np.minimum(new[:, :-1], old[:, 1:] + 1)
-        cost[live] = new = np.minimum.accumulate(new - k, axis=1) + k  # any run of insertions along the row
-        done = live[length[live] == i + 1]
-        found[done] = cost[done].min(1, initial=most + 1) <= most
     return found
 
 
@@ -138,11 +161,7 @@ def _search(ids: list, texts: list[str], least: int, edits: int, out_type: pa.Da
         for batch in batches:
             for part in _parts(batch):
                 stream, begin = streams(part.column(1).to_pylist())
-                found = set()
-                for d, i, diagonal, shared in items.bands(stream, begin):
-                    if (d, i) not in found and items.holds(np.append(stream[begin[d] : begin[d + 1]], np.uint32(32)), i, diagonal - begin[d], shared):
-                        found.add((d, i))
-                rows = sorted(found)
+                rows = sorted(items.found(stream, begin))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _ in rows], pa.int64())), pa.array([items.ids[i] for _, i in rows], out_type)], names=["key", "item"])
 
     return run
@@ -188,12 +207,7 @@ def _grams(q: int, window: int, near, kinds: tuple[str, str]):
 def _check(least: int, edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for k, (text, item) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                items = Items([0], [item], least, edits)
-                stream, begin = streams([text])
-                doc = np.append(stream[begin[0] : begin[1]], np.uint32(32))
-                keep.append(any(items.holds(doc, 0, diagonal - begin[0], shared) for _, _, diagonal, shared in items.bands(stream, begin)))
+            keep = [bool(Items([0], [item], least, edits).found(*streams([text]))) for text, item in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["text_id", "item"]).filter(pa.array(keep, pa.bool_()))
 
     return run
