@@ -21,18 +21,3 @@ def folded_with_offsets(text: str) -> tuple[str, list[int]]:
             at.append(start)
         start = end
     return "".join(out), at
-
-
-def expand_ellipsis(text: str, heads: list[str]) -> list[str]:
-    """X-02: in a list like "Alpha Motors·Foods" the later parts borrow the first part's head: Alpha Motors, Alpha Foods.
-
-    heads: known first words, the longest that the first part begins with is borrowed; parts that begin with a head stay as they are.
-    """
-    parts = [p.strip() for p in text.replace("·", ",").replace("ㆍ", ",").split(",") if p.strip()]
-    if not parts:
-        return []
-    head = max((h for h in heads if parts[0].startswith(h) and parts[0] != h), key=len, default=None)
-    if head is None:
-        return parts
-    gap = " " if parts[0][len(head) : len(head) + 1] == " " else ""
-    return [parts[0], *[p if any(p.startswith(h) for h in heads) else head + gap + p for p in parts[1:]]]

@@ -115,17 +115,17 @@ def normal_name(c: Column) -> Column:
     return F.regexp_replace(low, r"[\s.,&'\-#()]+", "")
 
 
-_PARTICLES = "은|는|이|가|을|를|의|에|와|과|도|로|만|에서|에게|까지|부터|으로|이나|라며"
+PARTICLES = "은|는|이|가|을|를|의|에|와|과|도|로|만|에서|에게|까지|부터|으로|이나|라며"
 
 
 def standalone(text: str, alias: str) -> int:
     """F-12, F-13, F-14: where alias stands by itself (a Korean particle may follow), or -1."""
     body = r"\s*".join(map(re.escape, alias.split()))
-    m = re.search(rf"(?<![0-9A-Za-z가-힣]){body}(?=$|[^0-9A-Za-z가-힣]|(?:{_PARTICLES})(?![0-9A-Za-z가-힣]))", text, re.I)
+    m = re.search(rf"(?<![0-9A-Za-z가-힣]){body}(?=$|[^0-9A-Za-z가-힣]|(?:{PARTICLES})(?![0-9A-Za-z가-힣]))", text, re.I)
     return m.start() if m else -1
 
 
-_FOLLOWED = re.compile(rf"(?:{_PARTICLES})(?![0-9A-Za-z가-힣])")
+_FOLLOWED = re.compile(rf"(?:{PARTICLES})(?![0-9A-Za-z가-힣])")
 
 
 def stands_alone(text: str, a: int, b: int) -> bool:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions.text import boilerplate_at, sentences, stands_alone
@@ -371,6 +371,26 @@ def classified(pairs: DataFrame) -> DataFrame:
     return own.mapInArrow(_relations, f"id {kind}, sentence_order int, sentence string, src string, dst string, relation string, confidence double, pattern string, reject string")
 
 
+def expand_lists(lists: DataFrame, list_id: str, text: str, heads: DataFrame, names: DataFrame, mark: str = "·") -> DataFrame:
+    """X-02: (id, pos, part) of each list "Alpha Motors·Foods, more": the parts before the first comma, those that leave out the first part's head given it back
+    (Alpha Motors, Alpha Foods). heads and names: one column each. The longest head that begins the first part is borrowed; a part that
+    begins with a head, or is a name itself, stays as it is. All by joins on prefixes, so heads and names may be any number.
+    """
+    kind = lists.schema[list_id].dataType.simpleString()
+    rows = lists.filter(F.instr(text, mark) > 0).select(F.col(list_id).cast(kind).alias("id"), F.posexplode(F.split(F.regexp_extract(text, r"^([^,]*)", 1), mark)).alias("pos", "part"))
+    rows = rows.withColumn("part", F.trim("part")).filter("part <> ''")
+    rows = written(rows.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1), "lists")
+    h = heads.select(F.col(heads.columns[0]).alias("head")).filter("head is not null and head <> ''").distinct()
+    begins = rows.select("id", "pos", "part", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda k: F.substring("part", F.lit(1), k))).alias("head")).join(h, "head")
+    first = begins.filter((F.col("pos") == 0) & (F.col("head") != F.col("part"))).groupBy("id").agg(F.max_by("head", F.length("head")).alias("head"), F.first("part").alias("whole"))
+    own = begins.select("id", "pos").distinct().withColumn("kept", F.lit(True))
+    known = names.select(F.col(names.columns[0]).alias("part")).distinct().withColumn("named", F.lit(True))
+    out = rows.join(first, "id", "left").join(own, ["id", "pos"], "left").join(known, "part", "left")
+    gap = F.when(F.substring("whole", F.length("head") + 1, F.lit(1)) == " ", " ").otherwise("")
+    stays = (F.col("pos") == 0) | F.col("head").isNull() | F.col("kept").isNotNull() | F.col("named").isNotNull()
+    return out.select("id", "pos", F.when(stays, F.col("part")).otherwise(F.concat("head", gap, "part")).alias("part"))
+
+
 def bio(sentence: str, spans: list[tuple[int, int]]) -> list[str]:
     """X-08: a tag per token; tokens are runs without white space, spans are offsets in the sentence. A span that cuts a token gives none."""
     out = []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import text as T
-from loomlake.functions.normalise import expand_ellipsis, folded_with_offsets
+from loomlake.functions.normalise import folded_with_offsets
 from loomlake.operators import dq, linking, mentions, publish, scores
 from loomlake.operators.serving import replace_keys, top_per
 from loomlake.plans.fixtures import fixture, with_views
@@ -69,7 +69,14 @@ def f03(spark, d):
     return s.groupBy(F.col("id").alias("document_id")).agg(F.sum("n").alias("n"))
 
 
-@query("F_12_standalone")
+def standalone_sql(word: str) -> str:
+    """Where a word of its own stands first, or -1; the particles are those of the operator."""
+    edge = "[^0-9A-Za-z가-힣]"
+    pattern = rf"(?is)^(.*?{edge}|){word}(?:$|{edge}|(?:{T.PARTICLES})(?:$|{edge}))"
+    return f"SELECT document_id AS id, CASE WHEN regexp_matches(body, '{pattern}') THEN length(regexp_extract(body, '{pattern}', 1)) ELSE -1 END AS at FROM fx_document WHERE body IS NOT NULL"
+
+
+@query("F_12_standalone", standalone_sql(r"market\s*share"))
 def f12(spark, d):
     return by_row(_docs(spark, d), "document_id", "body", lambda x: [(T.standalone(x, "market share"),)], [("at", "int")])
 
@@ -134,14 +141,13 @@ def j21(spark, d):
 
 @query("X_02_ellipsis")
 def x02(spark, d):
-    """The prefixes are the first names that companies share."""
-    first = table(spark, d, "companies").select(F.regexp_extract("name_en", r"^(\\w{3,})", 1).alias("p"), F.regexp_extract("name_official", "^([가-힣]{2})", 1).alias("q"))
-    prefixes = first.select("p").union(first.select("q")).filter("p <> ''").groupBy("p").count().filter("count > 1").limit(100_001).collect()
-    if len(prefixes) > 100_000:
-        raise ValueError("more than 100,000 shared first names: split them")
-    known = sorted({r["p"] for r in prefixes})
-    t = _docs(spark, d).filter("contains(body, '·')")
-    return by_row(t, "document_id", "body", lambda x: [(p,) for p in expand_ellipsis(x, known)], [("part", "string")])
+    """Lists in the first line of documents; heads are the first names that companies share."""
+    c = table(spark, d, "companies")
+    first = c.select(F.regexp_extract("name_en", r"^(\w{3,})", 1).alias("head")).union(c.select(F.regexp_extract("name_official", "^([가-힣]{2})", 1)))
+    heads = first.filter("head <> ''").groupBy("head").count().filter("count > 1").select("head")
+    names = c.select(F.col("name_official").alias("name")).union(c.select("name_en"))
+    lines = _docs(spark, d).select("document_id", F.regexp_extract("body", r"^([^\n]*)", 1).alias("line"))
+    return mentions.expand_lists(lines, "document_id", "line", heads, names)
 
 
 @query("X_05_linked")

@@ -74,6 +74,48 @@ def s25(spark, d):
     return rows.groupBy("market").agg(F.count(F.lit(1)).alias("companies"))
 
 
+@query("S_19_providers", "WITH k AS (SELECT ticker, market, CASE WHEN market IN ('KOSPI', 'KOSDAQ') THEN 'domestic' ELSE 'overseas' END AS provider, listed_at, delisted_at FROM companies) SELECT provider, market, COUNT(*) AS companies, SUM(CASE WHEN delisted_at IS NULL THEN 1 ELSE 0 END) AS open_ended FROM k GROUP BY 1, 2")
+def s19(spark, d):
+    """Which provider is asked for which company, and where the range asked for has no end."""
+    c = table(spark, d, "companies")
+    asked = readers.asked_of(c, "market", {"KOSPI": "domestic", "KOSDAQ": "domestic"}, "overseas")
+    return asked.groupBy("provider", "market").agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.col("delisted_at").isNull()).alias("open_ended"))
+
+
+@query("S_20_combined_prices", "SELECT company_id, trading_date, close_price, low_price, volume FROM fx_price")
+def s20(spark, d):
+    """Collected price files, one CSV a company, combined into one typed Parquet table that holds each bar once; one file came twice."""
+    root, out, p = shared_path(spark, "s20"), shared_path(spark, "s20-combined"), fixture(spark, d, "fx_price")
+    p.write.partitionBy("company_id").option("header", True).csv(f"{root}/first")
+    p.filter("company_id = 3").write.partitionBy("company_id").option("header", True).csv(f"{root}/again")
+    schema = "trading_date date, close_price decimal(20,4), low_price decimal(20,4), volume long, company_id long"
+    readers.combine_csv(spark, [f"{root}/first", f"{root}/again"], schema, ["company_id", "trading_date"]).write.parquet(out)
+    return spark.read.parquet(out).select("company_id", "trading_date", "close_price", "low_price", "volume")
+
+
+@query("S_21_landed_statements", "SELECT json_extract_string(record, '$.form') AS form, COUNT(*) AS records, SUM(CAST(json_extract_string(record, '$.size') AS BIGINT)) AS size, SUM(CAST(json_extract_string(record, '$.items') AS BIGINT)) AS items FROM run_sec_incremental WHERE record IS NOT NULL AND json_valid(record) GROUP BY 1")
+def s21(spark, d):
+    """Landed filings with their figures, the schema given, unreadable records left out and counted by the check before (S-12)."""
+    r = table(spark, d, "run_sec_incremental").filter("record is not null").select(F.from_json("record", "form string, size long, items long").alias("r"), F.get_json_object("record", "$").isNotNull().alias("ok"))
+    return r.filter("ok").groupBy("r.form").agg(F.count(F.lit(1)).alias("records"), F.sum("r.size").alias("size"), F.sum("r.items").alias("items"))
+
+
+@query("S_22_landed_news", "SELECT source, COUNT(*) AS rows, COUNT(*) FILTER (title IS NULL OR trim(title) = '') AS untitled FROM realtime_analyzer WHERE source IS NOT NULL GROUP BY 1")
+def s22(spark, d):
+    """Landed news as JSON lines, read with a given schema; a line that does not parse would fail the read."""
+    root = shared_path(spark, "s22")
+    table(spark, d, "realtime_analyzer").select("event_id", "source", "title", "content").write.json(root)
+    n = readers.strict_jsonl(spark, root, "event_id string, source string, title string, content string").filter("source is not null")
+    return n.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("title").isNull() | (F.trim("title") == "")).alias("untitled"))
+
+
+@query("S_23_landed_filings", "SELECT status, COUNT(*) AS files, COUNT(*) FILTER (hdfs_path IS NULL) AS without_path, CAST(SUM(file_bytes) AS BIGINT) AS bytes, MAX(failures) AS failures FROM run_sec_incremental GROUP BY 1")
+def s23(spark, d):
+    """The collectors' own index of filings by state."""
+    t = table(spark, d, "run_sec_incremental")
+    return t.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("hdfs_path").isNull()).alias("without_path"), F.sum("file_bytes").alias("bytes"), F.max("failures").alias("failures"))
+
+
 @query("K_01_write_once", "SELECT market, COUNT(*) AS rows, 1 AS refused FROM fx_company GROUP BY 1")
 def k01(spark, d):
     """A second write to the same place is refused and leaves the first as it was."""

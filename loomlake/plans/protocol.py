@@ -11,7 +11,7 @@ from loomlake.operators import mentions, publish
 from loomlake.operators.once import SeenStore
 from loomlake.operators.serving import ranked_by, replace_keys, top_per
 from loomlake.plans.fixtures import fixture, with_views
-from loomlake.plans.more import _docs, _matched, by_row
+from loomlake.plans.more import _docs, _matched, by_row, standalone_sql
 from loomlake.plans.platform import _feed
 from loomlake.session import shared_path
 from loomlake.sources import readers
@@ -120,7 +120,7 @@ def w02(spark, d):
     return top_per(fixture(spark, d, "fx_price"), ["company_id"], [F.desc("trading_date")], 20).groupBy("company_id").agg(F.sum("volume").alias("volume"))
 
 
-@query("F_13_particles")
+@query("F_13_particles", standalone_sql("외국인"))
 def f13(spark, d):
     return by_row(_docs(spark, d), "document_id", "body", lambda x: [(T.standalone(x, "외국인"),)], [("at", "int")])
 

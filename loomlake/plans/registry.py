@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.plans import graph, more, pipelines, platform, protocol, quality, scores, serving, text, timeseries
+from loomlake.plans import graph, more, pages, pipelines, platform, protocol, quality, scores, serving, text, timeseries
 
-_MODULES = (quality, scores, serving, timeseries, graph, text, platform, more, protocol, pipelines)
+_MODULES = (quality, scores, serving, timeseries, graph, text, platform, more, protocol, pipelines, pages)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -91,6 +91,24 @@ def bisected(counts: list[tuple[str, int]], most: int) -> list[tuple[str, str, i
     return out
 
 
+def asked_of(companies: DataFrame, market: str, providers: dict[str, str], other: str) -> DataFrame:
+    """S-19: companies with the provider that their market is asked of."""
+    out = F.lit(other)
+    for m, p in providers.items():
+        out = F.when(F.col(market) == m, p).otherwise(out)
+    return companies.withColumn("provider", out)
+
+
+def combine_csv(spark: SparkSession, roots: list[str], schema: str, keys: list[str]) -> DataFrame:
+    """S-20: CSV folders partitioned by key columns as one typed table; a row that comes again, word for word, stays once, and a key with two contents fails the read."""
+    from loomlake.operators.dq import duplicate_keys
+
+    rows = reduce(DataFrame.unionByName, [spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("basePath", r).csv(r) for r in roots]).distinct()
+    if not duplicate_keys(rows, keys).isEmpty():
+        raise ValueError(f"rows that disagree on {', '.join(keys)}")
+    return rows
+
+
 def ranged(df: DataFrame, key: str, parts: int) -> list[str]:
     """S-25: conditions that cut a table by its key as a partitioned JDBC read does: equal steps from least to greatest, the ends open, null keys in the first."""
     low, high = df.agg(F.min(key), F.max(key)).first()
