@@ -10,6 +10,7 @@ from loomlake.operators import serving as S
 from loomlake.operators import timeseries as T
 from loomlake.plans.fixtures import fixture, with_views
 from loomlake.plans.timeseries import _CAL, _series
+from loomlake.session import written
 from loomlake.sources.tables import table
 
 _F: dict = {}
@@ -50,7 +51,7 @@ _NEAR = "aj AS (SELECT src AS me, dst AS other FROM fx_relation UNION ALL SELECT
 @query("E_04_company_graph", f"WITH RECURSIVE {_NEAR} SELECT n.node, n.depth, c.name_official AS name, c.sector, COUNT(r.src) AS links FROM n LEFT JOIN companies c ON c.ticker = n.node LEFT JOIN fx_relation r ON (r.src = n.node AND r.dst IN (SELECT node FROM n)) OR (r.dst = n.node AND r.src IN (SELECT node FROM n)) GROUP BY ALL")
 def e04(spark, d):
     """The graph around one company: everyone within two hops, with name, sector and the links to others of them."""
-    r = fixture(spark, d, "fx_relation")
+    r = written(fixture(spark, d, "fx_relation"), "relations")
     near = G.frontier(r, spark.createDataFrame([("052143",)], "center string"), 2).select("node", "depth")
     inner = S.both_ways(r, "src", "dst").join(near.select(F.col("node").alias("me")), "me", "left_semi").join(near.select(F.col("node").alias("other")), "other", "left_semi")
     links = inner.groupBy(F.col("me").alias("node")).agg(F.count(F.lit(1)).alias("links"))
