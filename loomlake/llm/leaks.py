@@ -106,8 +106,8 @@ class Items:
         return bool(((gaps[edges[1::2]] - gaps[edges[::2]]) > self.least).any())
 
     def found(self, stream: np.ndarray, begin: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) of all texts of a stream. A band with an unharmed passage needs no alignment; the passages of all others
-        are aligned at once."""
+        """(document, item) of all texts of a stream. Without edits a band is compared along its diagonal; with edits the passages of all
+        bands are aligned at once."""
         stream = np.append(stream, np.uint32(32))  # every text ends where the next one's leading space stands
         e, out, rest = self.edits, set(), []
         for d, i, diagonal, shared in self.bands(stream[:-1], begin):
@@ -115,12 +115,10 @@ class Items:
                 continue
             passages = self.able(i, np.unique(shared))
             if len(passages):
-                doc = stream[begin[d] : begin[d + 1] + 1]
-                if any(self.same(doc, i, diagonal - begin[d] + k) for k in range(2 * e + 2 if e else 1)):
-                    out.add((d, i))
-                elif e:
+                if e:
                     rest.append((d, i, diagonal, passages))
-        rest = [r for r in rest if r[:2] not in out]
+                elif self.same(stream[begin[d] : begin[d + 1] + 1], i, diagonal - begin[d]):
+                    out.add((d, i))
         if rest:
             n = [len(r[3]) for r in rest]
             d, i, diagonal = (np.repeat(np.array([r[c] for r in rest], np.int64), n) for c in range(3))
