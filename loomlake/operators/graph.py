@@ -237,6 +237,17 @@ def special_links(edges: DataFrame, nodes: DataFrame, least: float = 0.42, least
     return out.filter(F.col("score") >= least)
 
 
+def corroborate(edges: DataFrame, signals: list[DataFrame], base: str = "strength", share: float = 0.25) -> DataFrame:
+    """X-35: edges (src, dst, ...) with ``score``: base plus ``share`` of the strongest signal of the unordered pair. signals: (a, b, value), a < b,
+    values of 0 to 1; a pair without any gets none. A signal never makes an edge."""
+    rows = signals[0]
+    for s in signals[1:]:
+        rows = rows.unionByName(s)
+    best = rows.groupBy(F.col("a").alias("_lo"), F.col("b").alias("_hi")).agg(F.max("value").alias("_v"))
+    out = edges.withColumns({"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")}).join(best, ["_lo", "_hi"], "left")
+    return out.withColumn("score", F.round(F.col(base) + share * F.coalesce("_v", F.lit(0.0)), 6)).drop("_lo", "_hi", "_v")
+
+
 def greedy_list(ranked: DataFrame, cap: int = 2, most: int = 500) -> DataFrame:
     """O-09: the ``most`` best links (src, dst, score, ...): in order of rank (ties: src, dst, rel) each is taken if its pair is not in the list
     yet and both ends have fewer than ``cap``.

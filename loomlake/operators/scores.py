@@ -78,13 +78,20 @@ def evidence_mean(evidence: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def saturating_support(evidence: DataFrame, windows: DataFrame, scale: float = 5.0) -> DataFrame:
-    """A-02: greatest confidence per document, 100(1 - e^(-sum/scale)) per source, mean of the sources present."""
+def saturating_support(evidence: DataFrame, windows: DataFrame, scale: float = 5.0, correlation: DataFrame | None = None, most_bonus: float = 3.0) -> DataFrame:
+    """A-02: greatest confidence per document, 100(1 - e^(-sum/scale)) per source, mean of the sources present, at most 100.
+
+    correlation: (a, b, corr) of unordered pairs, a < b, made of prices before the as-of time alone: adds ``most_bonus`` x |corr|; it makes no score by itself.
+    """
     key = ["source_company_id", "target_company_id", "relationship_type", "window_type"]
     doc = canonical(evidence).join(F.broadcast(windows), in_window("published_at")).groupBy(*key, "document_type", "document_id").agg(F.max("confidence").cast("double").alias("c"))
     part = doc.groupBy(*key).agg(F.sum(F.when(F.col("document_type") == "NEWS", F.col("c"))).alias("n"), F.sum(F.when(F.col("document_type") == "DISCLOSURE", F.col("c"))).alias("d"))
     part = part.withColumns({"n": -100 * F.expm1(-F.col("n") / scale), "d": -100 * F.expm1(-F.col("d") / scale)})
     blend = F.when(F.col("n").isNotNull() & F.col("d").isNotNull(), (F.col("n") + F.col("d")) / 2).otherwise(F.coalesce("n", "d"))
+    if correlation is not None:
+        c = correlation.select(F.col("a").alias("_lo"), F.col("b").alias("_hi"), "corr")
+        part = part.withColumns({"_lo": F.least(*key[:2]), "_hi": F.greatest(*key[:2])}).join(c, ["_lo", "_hi"], "left")
+        blend = blend + most_bonus * F.least(F.lit(1.0), F.abs(F.coalesce("corr", F.lit(0.0))))
     return part.select(*key, F.round("n", 6).alias("news_score"), F.round("d", 6).alias("disclosure_score"), F.round(F.least(F.lit(100.0), blend), 6).alias("score"))
 
 

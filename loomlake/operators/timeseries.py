@@ -79,6 +79,17 @@ def z_label(z: Column, half: float = 0.5) -> Column:
     return F.when(z.isNull(), None).when(z < -half, "NEGATIVE").when(z > half, "POSITIVE").otherwise("NEUTRAL")
 
 
+def pair_correlation(pairs: DataFrame, series: DataFrame, key: str, least: int = 20, before: str | None = None) -> DataFrame:
+    """(a, b, corr) of the pairs asked for: correlation of daily returns on the days both have one, from ``least`` such days on. ``before`` keeps later
+    prices out of a score of that day. Joins follow the pairs, so the work is pairs times days, never all companies with all."""
+    rows = series if before is None else series.filter(F.col("trading_date") < F.lit(before).cast("date"))
+    w = Window.partitionBy(key).orderBy("idx")
+    r = rows.select(key, "idx", F.when(F.col("idx") - F.lag("idx").over(w) == 1, F.try_divide("close", F.lag("close").over(w)) - 1).alias("r")).filter("r is not null")
+    j = pairs.select("a", "b").distinct().join(r.select(F.col(key).alias("a"), "idx", F.col("r").alias("ra")), "a").join(r.select(F.col(key).alias("b"), "idx", F.col("r").alias("rb")), ["b", "idx"])
+    g = j.groupBy("a", "b").agg(F.corr("ra", "rb").alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return g.filter("c is not null and not isnan(c)").select("a", "b", F.round("c", 6).alias("corr"))
+
+
 def reaction_stats(cases: DataFrame, windows: tuple[int, ...], key: str = "company_id") -> DataFrame:
     """A-13: (event_type, position, key, win, n, mean, med, down, up) of the columns ar_<window>, for each company and for all (key null)."""
     u = cases.select("event_type", "position", key, F.inline(F.array(*[F.struct(F.lit(n).alias("win"), F.col(f"ar_{n}").alias("v")) for n in windows]))).filter("v is not null")

@@ -8,6 +8,7 @@ from loomlake.operators import graph as G
 from loomlake.operators import scores
 from loomlake.operators.serving import top_per
 from loomlake.plans.fixtures import fixture, with_views
+from loomlake.plans.scores import CORR, _correlations
 from loomlake.session import written
 
 _F: dict = {}
@@ -199,14 +200,22 @@ def x34(spark, d):
     return top_per(fixture(spark, d, "fx_mention").join(at, "document_id"), ["document_id"], [F.col("company_id") % 5, F.col("company_id")]).select("document_id", "company_id", "published_at")
 
 
-@query("X_35_corroborate", f"WITH {_PAIRS}, n AS (SELECT MAX(n) AS m FROM pr) SELECT e.src, e.dst, e.rel, round(e.strength + 0.25 * GREATEST(COALESCE(pr.n / n.m, 0), CASE WHEN a.industry = b.industry THEN 0.3 ELSE 0 END), 6) AS score FROM fx_edge e LEFT JOIN pr ON pr.a = e.src AND pr.b = e.dst JOIN fx_company a ON a.company_id = e.src JOIN fx_company b ON b.company_id = e.dst, n")
+_X35 = f"""WITH {_PAIRS}, {CORR}, n AS (SELECT MAX(n) AS m FROM pr), g AS (SELECT a, b, n / CAST(m AS DOUBLE) AS v FROM pr, n UNION ALL SELECT a, b, abs(corr) FROM cor UNION ALL SELECT x.company_id, y.company_id, 0.3 FROM fx_company x JOIN fx_company y ON x.industry = y.industry AND x.company_id < y.company_id),
+t AS (SELECT a, b, MAX(v) AS v FROM g GROUP BY 1, 2) SELECT e.src, e.dst, e.rel, round(e.strength + 0.25 * COALESCE(v, 0), 6) AS score FROM fx_edge e LEFT JOIN t ON t.a = e.src AND t.b = e.dst"""
+
+
+@query("X_35_corroborate", _X35)
 def x35(spark, d):
+    """Signals: how often a pair is named together, how its prices moved together before the as-of time, .3 for one industry."""
+    e = fixture(spark, d, "fx_edge").select("src", "dst", "rel", "strength")
+    asked = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     pairs = _pairs(spark, d)
-    top = pairs.agg(F.max("n").alias("m"))
-    share = pairs.crossJoin(F.broadcast(top)).select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("n") / F.col("m")).alias("share"))  # one row
+    top = F.broadcast(pairs.agg(F.max("n").alias("m")))  # one row
+    named = pairs.crossJoin(top).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.col("n") / F.col("m")).alias("value"))
+    moved = _correlations(spark, d, asked).select("a", "b", F.abs("corr").alias("value"))
     c = fixture(spark, d, "fx_company").select("company_id", "industry")
-    e = fixture(spark, d, "fx_edge").join(share, ["src", "dst"], "left").join(c.toDF("src", "i1"), "src").join(c.toDF("dst", "i2"), "dst")
-    return e.select("src", "dst", "rel", F.round(F.col("strength") + 0.25 * F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.col("i1") == F.col("i2"), 0.3).otherwise(0.0)), 6).alias("score"))
+    alike = asked.join(c.toDF("a", "i"), "a").join(c.toDF("b", "j"), "b").filter("i = j").select("a", "b", F.lit(0.3).cast("double").alias("value"))
+    return G.corroborate(e, [named, moved, alike]).drop("strength")
 
 
 @query("X_36_master", "SELECT company_id, alias, alias_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY alias ORDER BY alias_id) AS rn FROM fx_alias) JOIN (SELECT company_id FROM fx_company) USING (company_id) WHERE rn = 1")

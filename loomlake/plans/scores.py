@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlake.operators import graph as G
 from loomlake.operators import scores as S
+from loomlake.operators import timeseries as T
 from loomlake.plans.fixtures import fixture, with_views
 
 AS_OF = "2001-01-01"
@@ -36,13 +37,26 @@ SELECT {_K}, window_type, CAST(news_micro AS BIGINT) AS news_micro, CAST(disclos
  CAST(CASE WHEN news_micro IS NOT NULL AND disclosure_micro IS NOT NULL THEN ((news_micro + disclosure_micro) * 2 + 2) // 4 ELSE COALESCE(news_micro, disclosure_micro) END AS BIGINT) AS score_micro, news_n, disclosure_n, direction FROM m"""
 
 
+def _correlations(spark, d, pairs):
+    series = T.on_calendar(fixture(spark, d, "fx_price"), "company_id", fixture(spark, d, "fx_index"))
+    return T.pair_correlation(pairs, series, "company_id", 5, AS_OF)
+
+
 def a02(spark, d):
-    return S.saturating_support(fixture(spark, d, "fx_evidence"), _windows(spark))
+    """With the bonus for prices that moved together before the as-of time."""
+    ev = fixture(spark, d, "fx_evidence")
+    pairs = ev.select(F.least("source_company_id", "target_company_id").alias("a"), F.greatest("source_company_id", "target_company_id").alias("b"))
+    return S.saturating_support(ev, _windows(spark), correlation=_correlations(spark, d, pairs))
+
 
+#: Correlation of daily returns of all pairs, from five common days on.
+CORR = f"""ret AS (SELECT company_id, idx, r FROM (SELECT company_id, i.idx, CASE WHEN i.idx - lag(i.idx) OVER v = 1 THEN CAST(p.close_price AS DOUBLE) / lag(CAST(p.close_price AS DOUBLE)) OVER v - 1 END AS r FROM fx_price p JOIN fx_index i USING (trading_date) WHERE p.trading_date < DATE '{AS_OF}' WINDOW v AS (PARTITION BY company_id ORDER BY i.idx)) WHERE r IS NOT NULL),
+cor AS (SELECT x.company_id AS a, y.company_id AS b, round(corr(x.r, y.r), 6) AS corr FROM ret x JOIN ret y ON x.idx = y.idx AND x.company_id < y.company_id GROUP BY 1, 2 HAVING COUNT(*) >= 5)"""
 
-_A02 = f"""WITH {_W}, {_CANON}, dd AS (SELECT {_K}, window_type, document_type, document_id, CAST(MAX(confidence) AS DOUBLE) AS c FROM c JOIN w ON published_at >= start_at AND published_at < TIMESTAMP '{AS_OF}' GROUP BY ALL),
+_A02 = f"""WITH {_W}, {_CANON}, {CORR}, dd AS (SELECT {_K}, window_type, document_type, document_id, CAST(MAX(confidence) AS DOUBLE) AS c FROM c JOIN w ON published_at >= start_at AND published_at < TIMESTAMP '{AS_OF}' GROUP BY ALL),
 p AS (SELECT {_K}, window_type, 100 * (1 - exp(-SUM(c) FILTER (document_type = 'NEWS') / 5)) AS n, 100 * (1 - exp(-SUM(c) FILTER (document_type = 'DISCLOSURE') / 5)) AS f FROM dd GROUP BY ALL)
-SELECT {_K}, window_type, round(n, 6) AS news_score, round(f, 6) AS disclosure_score, round(LEAST(100, CASE WHEN n IS NOT NULL AND f IS NOT NULL THEN (n + f) / 2 ELSE COALESCE(n, f) END), 6) AS score FROM p"""
+SELECT {_K}, window_type, round(n, 6) AS news_score, round(f, 6) AS disclosure_score, round(LEAST(100, CASE WHEN n IS NOT NULL AND f IS NOT NULL THEN (n + f) / 2 ELSE COALESCE(n, f) END + 3 * LEAST(1, abs(COALESCE(corr, 0)))), 6) AS score
+FROM p LEFT JOIN cor ON cor.a = LEAST(source_company_id, target_company_id) AND cor.b = GREATEST(source_company_id, target_company_id)"""
 
 
 def a03(spark, d):
