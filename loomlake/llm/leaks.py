@@ -69,6 +69,8 @@ class Items:
         where = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
         same = self.hash[where] == h[at]
         at, where = at[same], where[same]
+        if not len(at):
+            return
         n = self.first[where + 1] - self.first[where]
         flat = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item, pos = self.item[flat], self.pos[flat]
@@ -80,6 +82,7 @@ class Items:
             item, doc, pos, band = np.tile(item, 2), np.tile(doc, 2), np.tile(pos, 2), np.concatenate([band, band - 1])
         key = np.stack([doc, item, band, pos])
         key = key[:, np.lexsort(key[::-1])]
+        key = key[:, np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])]  # a gram that the document repeats counts once
         new = np.ones(key.shape[1], bool)
         new[1:] = (key[:3, 1:] != key[:3, :-1]).any(0)
         first = np.flatnonzero(new)
@@ -113,7 +116,7 @@ class Items:
         for d, i, diagonal, shared in self.bands(stream[:-1], begin):
             if (d, i) in out:
                 continue
-            passages = self.able(i, np.unique(shared))
+            passages = self.able(i, shared)
             if len(passages):
                 if e:
                     rest.append((d, i, diagonal, passages))
