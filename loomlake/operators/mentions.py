@@ -405,9 +405,19 @@ def bio(sentence: str, spans: list[tuple[int, int]]) -> list[str]:
     return out
 
 
+_TOTAL = re.compile(r"(?:합\s*계|소\s*계|계|total|subtotal)", re.I)
+
+
 def parse_holders(text: str) -> list[tuple[str, float]]:
-    """X-18: (holder, percent) of the lines of an ownership table."""
-    return [(m[1].strip(), float(m[2])) for m in re.finditer(r"^\s*([^\d\n]+?)\s+(?:[\d,]+\s+)?(\d{1,3}(?:\.\d+)?)\s*%\s*$", text, re.M) if 0 < float(m[2]) <= 100]
+    """X-18: (holder, percent) of the lines of an ownership table; lines of totals and shares above 100 are none."""
+    rows = ((m[1].strip(), float(m[2])) for m in re.finditer(r"^[^\S\n]*(\S[^\n]*?)[^\S\n]+(?:[\d,]+[^\S\n]+)?(\d{1,3}(?:\.\d+)?)[^\S\n]*%[^\S\n]*$", text, re.M))
+    return [(h, p) for h, p in rows if 0 < p <= 100 and re.search(r"[^\W\d_]", h) and not _TOTAL.fullmatch(h)]
+
+
+def active_relations(text: F.Column) -> F.Column:
+    """X-20: the relation types whose words a text holds, and CO_MENTIONED, which needs none; none for a null text."""
+    found = [F.when(text.rlike("(?i)" + p.pattern), name) for name, p in sorted(RELATION_WORDS.items())]
+    return F.when(text.isNotNull(), F.array_sort(F.array_compact(F.array(F.lit("CO_MENTIONED"), *found))))
 
 
 def first_group_wins(texts: list[str], threshold: float = 0.5, n: int = 3) -> list[int]:

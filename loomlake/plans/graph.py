@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlake.operators import graph as G
+from loomlake.operators import mentions as M
 from loomlake.operators import scores
 from loomlake.operators.serving import top_per
 from loomlake.plans.fixtures import fixture, with_views
@@ -134,10 +135,13 @@ def x17(spark, d):
     return G.merge_ownership(news, best)
 
 
-@query("X_20_active_relations", "SELECT document_id, concat_ws(',', CASE WHEN regexp_matches(body, '공급|supply|ships') THEN 'SUPPLY' END, CASE WHEN regexp_matches(body, '합의|agreed|team up') THEN 'PARTNER' END, CASE WHEN regexp_matches(body, '지분|bought|stake') THEN 'INVEST' END) AS active FROM fx_document WHERE body IS NOT NULL")
+_X20 = "SELECT document_id, array_to_string(list_sort(list_filter(['CO_MENTIONED', " + ", ".join(f"CASE WHEN regexp_matches(body, '(?i){p.pattern}') THEN '{n}' END" for n, p in sorted(M.RELATION_WORDS.items())) + "], lambda x: x IS NOT NULL)), ',') AS active FROM fx_document WHERE body IS NOT NULL"
+
+
+@query("X_20_active_relations", _X20)
 def x20(spark, d):
-    rules = (("공급|supply|ships", "SUPPLY"), ("합의|agreed|team up", "PARTNER"), ("지분|bought|stake", "INVEST"))
-    return fixture(spark, d, "fx_document").filter("body is not null").select("document_id", F.concat_ws(",", *[F.when(F.col("body").rlike(p), n) for p, n in rules]).alias("active"))
+    """Which relation types an article's words allow a spread along."""
+    return fixture(spark, d, "fx_document").filter("body is not null").select("document_id", F.array_join(M.active_relations(F.col("body")), ",").alias("active"))
 
 
 _SPECIAL = """WITH nd AS (SELECT ticker AS id, sector AS industry, market, CAST(COALESCE(year(listed_at) - 1980, 0) AS DOUBLE) AS x, CAST(COALESCE(month(listed_at), 0) AS DOUBLE) AS y, CAST(COALESCE(day(listed_at), 0) AS DOUBLE) AS z FROM companies),

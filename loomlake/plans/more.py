@@ -184,10 +184,14 @@ def x11(spark, d):
     return _docs(spark, d).select("document_id", F.col("body").rlike("지분 [0-9.]+%를|bought [0-9.]+% of").alias("invest"))
 
 
-@query("X_18_holders")
+@query("X_18_holders", "SELECT l_orderkey AS id, n_name AS holder, CAST(l_linenumber * 3 + 0.5 AS DOUBLE) AS pct FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey")
 def x18(spark, d):
-    lines = F.array_join(F.transform(F.filter(F.split("body", r"(?<=\. )"), lambda x: x.contains("%")), lambda x: F.concat(F.regexp_extract(x, r"^([A-Za-z가-힣 ]{2,40})", 1), F.lit(" "), F.regexp_extract(x, r"(\d{1,2}\.\d)%", 1), F.lit("%"))), "\n")
-    return by_row(_docs(spark, d).withColumn("lines", lines), "document_id", "lines", mentions.parse_holders, [("holder", "string"), ("pct", "double")])
+    """Ownership tables as filings print them, one an order: a heading, a line a holder with shares and percent, a total."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
+    line = F.concat(F.lit("  "), "n_name", F.lit("   "), F.format_number(F.col("l_quantity") * 1000, 0), F.lit("  "), (F.col("l_linenumber") * 3 + F.lit(0.5)).cast("string"), F.lit(" % "))
+    t = table(spark, d, "lineitem").join(s, "l_suppkey").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))  # an order's own lines
+    text = t.select("l_orderkey", F.concat(F.lit("주주명  주식수  지분율(%)\n"), "lines", F.lit("\n합 계  1,000,000  100.0 %\n(단위: 주)")).alias("text"))
+    return by_row(text, "l_orderkey", "text", mentions.parse_holders, [("holder", "string"), ("pct", "double")])
 
 
 @query("X_33_first_group")

@@ -101,7 +101,7 @@ def test_standalone_and_matcher():
     assert m.spans("😀 Alpha Bet and alpha, 감마와 델타의 Alphabet") == [("b", "Alpha Bet", 2, 11), ("a", "alpha", 16, 21), ("d", "델타", 27, 29)]
     assert mentions.Matcher([]).spans("x") == [] and m.spans(None) == []
     assert mentions.bio("Alpha Bet rose", [(0, 9)]) == ["B", "I", "O"]
-    assert mentions.parse_holders("홍길동 1,000 12.5%\nKim Co 3 %\nbad 120%") == [("홍길동", 12.5), ("Kim Co", 3.0)]
+    assert mentions.parse_holders("홍길동 1,000 12.5%\nKim Co 3 %\nbad 120%\n합 계 100 %\n  Total 1,000 50.0% ") == [("홍길동", 12.5), ("Kim Co", 3.0)]
     assert mentions.first_group_wins(["abcdef", "abcdeg", "zzzzzz", "abcxyz"]) == [0, 0, 1, 2]
 
 
