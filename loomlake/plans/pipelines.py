@@ -14,7 +14,6 @@ from loomlake.functions import text as T
 from loomlake.operators import dq, learning, mentions, publish
 from loomlake.operators import timeseries as TS
 from loomlake.operators.outbox import Outbox, paused
-from loomlake.operators.serving import replace_keys
 from loomlake.plans.fixtures import fixture, with_views
 from loomlake.plans.more import _matched
 from loomlake.plans.timeseries import _CAL, _CASES, _cases, _series

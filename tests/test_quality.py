@@ -157,3 +157,36 @@ def test_each_present_column_is_a_reference(spark):
     got = sorted((r.id, r.fld, r.kind) for r in orphan_fields(refs, targets, "at").collect())
     assert got == [(2, "x", "missing"), (4, "x", "late"), (4, "x", "late"), (4, "y", "deleted"), (4, "y", "deleted")]
     assert orphan_fields(refs.limit(0), targets, "at").count() == 0
+
+
+def test_intermediate_tables_can_be_dropped_one_by_one(spark):
+    from loomlake.session import discard, written
+
+    a, b = (written(spark.range(5).toDF("k"), f"test-{n}") for n in "ab")
+    discard(a)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+        spark.read.parquet(a._written_at).count()
+    assert b.count() == 5
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from loomlake.session import shared_root
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session())
