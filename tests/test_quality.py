@@ -147,6 +147,15 @@ def test_lookup_reads_the_containers_of_the_index(spark):
     assert sorted(r.path for r in lookup_all(spark, root, wanted, "p").collect()) == ["/f/001", "/f/150"]
 
 
+def test_the_lookup_query_reads_every_file_of_the_archive(spark):
+    from loomlake.plans.quality import p4_index, p4_lookup
+
+    d = "/root/testdata/sf0.001"
+    got = p4_lookup(spark, d).selectExpr("path", "octet_length(record) as bytes")
+    want = p4_index(spark, d)
+    assert got.count() == want.count() > 5 and got.exceptAll(want).count() == 0
+
+
 def test_each_present_column_is_a_reference(spark):
     refs = spark.createDataFrame([(1, "a", None), (2, "z", "k"), (3, None, None), (4, "late", "gone"), (4, "late", "gone")], "id int, x string, y string").withColumn("at", F.lit("2024-01-02").cast("timestamp"))
 
