@@ -52,6 +52,27 @@ def top_per(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> D
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def counts_before(df: DataFrame, key: str, us: str, days: tuple[int, ...]) -> DataFrame:
+    """W-11: df with ``n<d>`` for each d of days: rows of the same key from d days before a row's own µs up to the µs before it.
+
+    As SQL counts RANGE BETWEEN d days PRECEDING AND 1 PRECEDING; rows of a null time are one another's peers. A window of whole days is all
+    rows of the days before, less the rows before the same time of its first day, plus those of the row's own day: so rows meet by key and
+    day, each once itself and once more for each d, and a running count goes over them. Time grows with the rows, not with rows a window.
+    """
+    day_us = 86_400_000_000
+    rows = df.withColumns({"_at": F.col(us), "_back": F.lit(0)})
+    moved = df.filter(F.col(us).isNotNull()).select(key, F.inline(F.array(*[F.struct((F.col(us) + d * day_us).alias("_at"), F.lit(d).alias("_back")) for d in days])))
+    day = F.expr(f"(_at - pmod(_at, {day_us}L)) div {day_us}L")
+    w = Window.partitionBy(key, "_day").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = {f"_seen{d}": F.count(F.when(F.col("_back") == d, 1)).over(w) for d in (0, *days)}
+    met = rows.unionByName(moved, allowMissingColumns=True).withColumn("_day", day).withColumns(seen).filter("_back = 0")
+    a_day = rows.filter("_at is not null").withColumn("_day", day).groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_day")
+    a_day = a_day.select(F.col(key).alias("_key"), F.col("_day").alias("_on"), *[F.coalesce(F.sum("_n").over(before.rangeBetween(-d, -1)), F.lit(0)).alias(f"_days{d}") for d in days])
+    out = met.join(a_day, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_on")), "left")
+    return out.select(*df.columns, *[(F.col("_seen0") + F.coalesce(f"_days{d}", F.lit(0)) - F.col(f"_seen{d}")).alias(f"n{d}") for d in days])
+
+
 def ranked_by(df: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
     """df with its position from 0 in a total order, without one task that sees all rows: rows are sorted in ranges, written, and each
     range's rows are counted; a row's rank is its place in its range plus the rows of the ranges before. The order must have no ties."""

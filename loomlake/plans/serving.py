@@ -407,10 +407,8 @@ def w09(spark, d):
 
 @query("W_11_buzz", "SELECT event_id, round(COUNT(*) OVER (PARTITION BY company_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) / (COUNT(*) OVER (PARTITION BY company_id ORDER BY us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING) / 30.0 + 1), 8) AS buzz FROM (SELECT *, epoch_us(dateline) AS us FROM fx_event)")
 def w11(spark, d):
-    e = fixture(spark, d, "fx_event").withColumn("us", F.unix_micros(F.col("dateline").cast("timestamp")))
-    w = Window.partitionBy("company_id").orderBy("us")
-    c = {n: F.count(F.lit(1)).over(w.rangeBetween(-n * 86_400_000_000, -1)) for n in (1, 30)}
-    return e.select("event_id", F.round(c[1] / (c[30] / 30 + 1), 8).alias("buzz"))
+    e = fixture(spark, d, "fx_event").select("event_id", "company_id", F.unix_micros(F.col("dateline").cast("timestamp")).alias("us"))
+    return S.counts_before(e, "company_id", "us", (1, 30)).select("event_id", F.round(F.col("n1") / (F.col("n30") / 30 + 1), 8).alias("buzz"))
 
 
 @query("W_14_feed_order", "SELECT event_id, CAST(rn AS BIGINT) AS rn, CAST(dateline AS DATE) AS day FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY CAST(dateline AS DATE), company_id ORDER BY dateline DESC, event_id) AS rn FROM fx_event)")

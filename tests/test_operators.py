@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import text as T
-from loomlake.operators import graph, mentions, publish, scores
+from loomlake.operators import graph, mentions, publish, scores, serving
 from loomlake.operators import timeseries as ts
 from loomlake.session import shared_path
 from loomlake.sources import readers
@@ -139,3 +139,19 @@ def test_strict_and_tolerant_lines(spark):
     assert sorted(r.a for r in readers.tolerant_jsonl(spark, root, "a int").collect()) == [1, 2]
     with pytest.raises(Exception):
         readers.strict_jsonl(spark, root, "a int").collect()
+
+
+def test_counts_before_equal_brute_force_and_slide_over_no_rows(spark):
+    """W-11: rows of one time, on the edge of a window, before 1970, without key or time; no frame as long as the rows of a month."""
+    rng = random.Random(11)
+    day = 86_400_000_000
+    rows = [(k, rng.choice([1, 1, 2, None]), rng.choice([None, rng.randrange(-40 * day, 40 * day), rng.randrange(-40, 40) * day, rng.randrange(-40, 40) * day - 1, 5 * day, 35 * day])) for k in range(500)]
+    out = serving.counts_before(spark.createDataFrame(rows, "id long, k long, us long"), "k", "us", (1, 30))
+
+    def want(key, us, d):
+        return sum(y == key and (x is None if us is None else x is not None and us - d * day <= x < us) for _, y, x in rows)
+
+    assert sorted((r.id, r.n1, r.n30) for r in out.collect()) == [(k, want(key, us, 1), want(key, us, 30)) for k, key, us in rows]
+    from loomlake.plans.serving import w11
+
+    assert "2592000000000, -1" not in w11(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
