@@ -86,3 +86,11 @@ def test_every_source_has_its_own_mixture_however_many(spark):
     df = spark.createDataFrame([(s, v, SEOUL) for s, v in rows], "s string, v string, z string")
     got = {(r.s): r.reading for r in normalise_times(df, "v", "z", "s", ALL).filter("v = '03/04/2023'").collect()}
     assert got == {f"s{k}": "day_first" if k % 2 else "month_first" for k in range(300)}
+
+
+def test_without_a_second_reading_nothing_is_fitted(spark):
+    df = spark.createDataFrame([("03/04/2023", "UTC", "s"), ("13/04/2023", "UTC", "s"), ("2023-04-03", "UTC", "s"), (None, "UTC", None)], "v string, z string, s string")
+    plain, fitted = normalise_times(df, "v", "z", "s"), normalise_times(df, "v", "z", "s", ALL)
+    assert "FlatMapGroups" not in plain._jdf.queryExecution().toString() and "FlatMapGroups" in fitted._jdf.queryExecution().toString()
+    assert plain.columns == fitted.columns and plain.schema["ambiguous"].dataType == fitted.schema["ambiguous"].dataType
+    assert sorted((r.v or "", r.reading, r.utc_us is None, r.ambiguous) for r in plain.collect()) == [("", None, True, False), ("03/04/2023", "month_first", False, False), ("13/04/2023", None, True, False), ("2023-04-03", "year_first", False, False)]
